@@ -3,7 +3,11 @@
 from importlib import import_module
 
 _MODULES = {
+    "op3_line_dedup": "linededup",
+    "op4_toxicity": "toxicity",
     "op7_minhash": "minhash",
+    "op8_decontamination": "decontaminate",
+    "op10_bpe": "bpe",
 }
 
 QUERIES = {name: import_module(f"tessera.llm.{module}").query for name, module in _MODULES.items()}
