@@ -90,19 +90,26 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def settled(df: DataFrame) -> DataFrame:
-    """`df` written once to the shared checkpoint folder, without its lineage.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder for checkpoints and written tables: the session's spark.checkpoint.dir.
 
-    The folder is the session's spark.checkpoint.dir. Where none is set, a temporary folder is made, in local mode only.
+    Where none is set, a temporary folder is made, in local mode only.
     """
-    sc = df.sparkSession.sparkContext
-    if not sc._jsc.sc().getCheckpointDir().isDefined():
-        folder = sc.getConf().get("spark.checkpoint.dir")
-        if not folder:
-            if not sc.master.startswith("local"):
-                raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-            folder = tempfile.mkdtemp(prefix="checkpoints-")
+    sc = spark.sparkContext
+    there = sc._jsc.sc().getCheckpointDir()
+    folder = sc.getConf().get("spark.checkpoint.dir") or (there.get() if there.isDefined() else None)
+    if not folder:
+        if not sc.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        folder = tempfile.mkdtemp(prefix="checkpoints-")
+    if not there.isDefined():
         sc.setCheckpointDir(folder)
+    return folder
+
+
+def settled(df: DataFrame) -> DataFrame:
+    """`df` written once to the shared folder, without its lineage."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 
