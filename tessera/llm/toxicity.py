@@ -219,7 +219,7 @@ def learned_terms(docs: DataFrame, labels: DataFrame, bound: int = LABELLED) ->
         return []
     part = F.when(F.col("toxic") > 0, bound / n[True]).otherwise(bound / n.get(False, 1))
     sample = marks.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < part * (1 << 20)).select(F.col("doc_id").alias("__id"), (F.col("toxic") > 0).alias("toxic"))
-    texts = docs.select(F.col("doc_id").cast("long").alias("__id"), "text").where("text is not null").join(sample, "__id").select("text", "toxic")
+    texts = docs.select(F.col("doc_id").cast("long").alias("__id"), "text").where("text is not null").join(F.broadcast(sample), "__id").select("text", "toxic")  # of a size bounded by the parameter
     n_bad, n_good = min(n[True], bound), min(n.get(False, 0), bound)
     seen = texts.mapInArrow(_contexts, "word string, context long, toxic boolean")
     counts = seen.groupBy("word").agg(F.count_distinct(F.when(F.col("toxic"), F.col("context"))).alias("bad"), F.count_if(~F.col("toxic")).alias("good"))
