@@ -1,6 +1,5 @@
 """Near-duplicate texts by MinHash over runs of seven words, verified exactly."""
 
-import tempfile
 from collections.abc import Iterator
 
 import numpy as np
@@ -9,15 +8,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions.text import ngrams, words
+from tessera.sources.folders import shared_folder
 
 SHINGLE, THRESHOLD, LEAST_WORDS, BANDS, ROWS = 7, 0.8, 5, 24, 4
 
 
 def shingle_sets(docs: DataFrame, size: int = SHINGLE, least: int = LEAST_WORDS) -> DataFrame:
     """(doc_id, shingles): distinct hashes of word runs; texts below `least` words are left out, below `size` they are one run."""
-    parts = words(F.col("text"))
-    runs = F.when(F.size(parts) >= size, ngrams(parts, size)).otherwise(F.array(F.array_join(parts, " ")))
-    return docs.where(F.size(parts) >= least).select("doc_id", F.array_distinct(F.transform(runs, lambda x: F.xxhash64(x))).alias("shingles"))
+    cut = docs.select("doc_id", words(F.col("text")).alias("parts"))  # a column of its own, or each run would cut the text again
+    runs = F.when(F.size("parts") >= size, ngrams(F.col("parts"), size)).otherwise(F.array(F.array_join("parts", " ")))
+    return cut.where(F.size("parts") >= least).select("doc_id", F.array_distinct(F.transform(runs, lambda x: F.xxhash64(x))).alias("shingles"))
 
 
 def _bands(bands: int, rows: int):
@@ -44,7 +44,7 @@ def _bands(bands: int, rows: int):
 
 def duplicate_pairs(docs: DataFrame, size: int = SHINGLE, threshold: float = THRESHOLD, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """(a, b, jaccard) of pairs a < b that share a band and are as similar as the threshold."""
-    sets = shingle_sets(docs, size)
+    sets = checkpointed(shingle_sets(docs, size))
     banded = sets.mapInArrow(_bands(bands, rows), "doc_id long, bands array<long>").select("doc_id", F.explode("bands").alias("band"))
     pairs = banded.alias("l").join(banded.alias("r"), F.expr("l.band = r.band and l.doc_id < r.doc_id")).select(F.col("l.doc_id").alias("a"), F.col("r.doc_id").alias("b")).distinct()
     left, right = (sets.select(F.col("doc_id").alias(k), F.col("shingles").alias(s)) for k, s in (("a", "x"), ("b", "y")))
@@ -72,18 +72,18 @@ def clusters(pairs: DataFrame) -> DataFrame:
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """`df` without its lineage, in the session's checkpoint folder (in local mode without one, a temporary folder)."""
-    sc = df.sparkSession.sparkContext
-    if not sc._jsc.sc().getCheckpointDir().isDefined():
-        folder = sc.getConf().get("spark.checkpoint.dir")
-        if not folder and not sc.master.startswith("local["):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="checkpoints-"))
+    """`df` written once to the shared folder, without its lineage."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 
-def deduplicated(docs: DataFrame, **options) -> DataFrame:
-    """`docs` with the least document of each cluster."""
-    found = clusters(checkpointed(duplicate_pairs(docs, **options)))
-    gone = found.where("doc_id <> cluster").select("doc_id")
+def deduplicated(docs: DataFrame, size: int = SHINGLE, **options) -> DataFrame:
+    """`docs` with the least document of each cluster. Texts with the same words in a row are taken together before any are compared, so a text that is copied n times costs n rows."""
+    parts = words(F.col("text"))
+    keyed = docs.select("doc_id", F.when(F.size(parts) >= LEAST_WORDS, F.md5(F.array_join(parts, " "))).alias("content")).where("content is not null")
+    first = checkpointed(keyed.groupBy("content").agg(F.min("doc_id").alias("least")))
+    alone = docs.join(first.select(F.col("least").alias("doc_id")), "doc_id", "left_semi")
+    found = clusters(checkpointed(duplicate_pairs(alone, size, **options)))
+    copies = keyed.join(first, "content").where("doc_id <> least").select("doc_id")
+    gone = copies.unionByName(found.where("doc_id <> cluster").select("doc_id")).distinct()
     return docs.join(gone, "doc_id", "left_anti")

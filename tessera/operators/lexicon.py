@@ -12,6 +12,11 @@ def frequent_words(docs: DataFrame, least: int = 20) -> DataFrame:
     return each.groupBy("lang", "word").agg(F.count("*").alias("df")).where(F.col("df") >= least)
 
 
+def word_counts(docs: DataFrame) -> DataFrame:
+    """(word, n): how often each word occurs, from which a vocabulary of subwords can be learned."""
+    return docs.select(F.explode(words(F.col("text"))).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
+
+
 def paired(lexicon: DataFrame, source: str, target: str) -> DataFrame:
     """(word, translations): words of two languages paired by rank of frequency, each with the target's words of its rank and the next."""
     rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("df"), "word"))
@@ -66,9 +71,12 @@ def glossary(docs: DataFrame, pairs: DataFrame, repeats: bool = False) -> DataFr
 
     A line "- run: a, b" for each; with `repeats` once for each occurrence, else once.
     """
-    parts = tokens(F.lower(F.col("text")))
-    grams = F.flatten(F.array(*[F.transform(ngrams(parts, n), lambda g, i, n=n: F.struct(F.lit(-n).alias("n"), i.alias("i"), g.alias("gram"))) for n in (3, 2, 1)]))
-    each = docs.select("doc_id", F.explode(grams).alias("g")).select("doc_id", "g.n", "g.i", "g.gram")
+    cut = docs.select("doc_id", tokens(F.lower(F.col("text"))).alias("parts"))
+
+    def placed(n: int) -> Column:
+        return F.transform(ngrams(F.col("parts"), n), lambda g, i: F.struct(F.lit(-n).alias("n"), i.alias("i"), g.alias("gram")))
+
+    each = cut.select("doc_id", F.explode(F.flatten(F.array(*map(placed, (3, 2, 1))))).alias("g")).select("doc_id", "g.n", "g.i", "g.gram")
     met = each.join(pairs.where(F.size("translations") > 0), each["gram"] == F.col("word")).select("doc_id", "n", "i", "gram", "translations")
     if not repeats:
         met = met.groupBy("doc_id", "n", "gram").agg(F.min("i").alias("i"), F.first("translations").alias("translations"))

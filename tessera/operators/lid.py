@@ -64,5 +64,6 @@ def either_line(text: Column, wanted: Iterable[str]) -> Column:
 def most_lines(text: Column, wanted: Iterable[str]) -> Column:
     """More than half of the lines that aren't blank are in a wanted language."""
     full = F.filter(lines(text), lambda x: F.rlike(x, F.lit(r"\S")))
-    good = F.filter(full, lambda x: label(x).isin(*wanted))
+    # each line is cut once, before it is scored for every language
+    good = F.filter(F.transform(full, words), lambda ws: F.array_max(scored(ws))["lang"].isin(*wanted))
     return F.coalesce((F.size(full) > 0) & (F.size(good) * 2 > F.size(full)), F.lit(False))

@@ -58,3 +58,9 @@ def accuracy(rows: DataFrame) -> DataFrame:
 def latency(ms: Column) -> list[Column]:
     """Mean, median, and the nearest-rank 95th percentile."""
     return [F.round(F.avg(ms), 6).alias("mean"), F.round(F.percentile(ms, 0.5), 6).alias("median"), F.expr("percentile_disc(0.95) within group (order by ms)").alias("p95")]
+
+
+def exportable(choices: Column, answer: Column) -> Column:
+    """Whether a question has as many labels as texts, some of each, and its answer among the labels."""
+    labels, texts = choices["label"], choices["text"]
+    return F.coalesce((F.size(labels) > 0) & (F.size(labels) == F.size(texts)) & F.array_contains(labels, answer), F.lit(False))

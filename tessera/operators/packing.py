@@ -1,9 +1,17 @@
 """Token lists as blocks and windows for language models, and losses over them."""
 
+import base64
+import math
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 IGNORED = -100
+#: A public vocabulary, and how text is cut before its merges.
+VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
+PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
 
 def packed(docs: DataFrame, seq_len: int, eos: int, batch_rows: int = 1000) -> DataFrame:
@@ -60,3 +68,31 @@ def in_vocabulary(docs: DataFrame, size: int) -> DataFrame:
 def left_truncated(ids: Column, most: int) -> Column:
     """The last `most` - 1 tokens."""
     return F.when(F.size(ids) >= most, F.slice(ids, -(most - 1), most - 1)).otherwise(ids)
+
+
+def cost(n_tokens: Column, price: float) -> Column:
+    """What so many tokens cost at a price for a million, a quarter of them being charged."""
+    return n_tokens / 4.0 / 1_000_000 * price
+
+
+def steps(rows: int, batch: int, accumulate: int, epochs: float, eval_steps: int, saves: int) -> tuple[int, int]:
+    """(steps in all, steps between saves), the latter a multiple of eval_steps."""
+    total = max(1, math.ceil(math.ceil(rows / (batch * accumulate)) * epochs))
+    return total, max(1, math.ceil(total / max(1, saves) / eval_steps)) * eval_steps
+
+
+def tokenised(docs: DataFrame, path: str = VOCABULARY) -> DataFrame:
+    """(doc_id, n_tokens, token_ids): byte-pair tokens of each text by a vocabulary of base64 tokens and ids; null for a null text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import tiktoken
+
+        with open(path, "rb") as lines:
+            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, filter(bytes.strip, lines))}
+        encoding = tiktoken.Encoding("corpus", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+        for batch in batches:
+            ids = [None if t is None else encoding.encode_ordinary(t) for t in batch.column("text").to_pylist()]
+            n = pa.array([None if x is None else len(x) for x in ids], pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), n, pa.array(ids, pa.list_(pa.int32()))], ["doc_id", "n_tokens", "token_ids"])
+
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {dict(docs.dtypes)['doc_id']}, n_tokens long, token_ids array<int>")

@@ -45,7 +45,8 @@ def by_long_text(df: DataFrame, table: DataFrame, text: str, value: str, order:
 
 def patched(df: DataFrame, array: str, patches: DataFrame, key: str) -> DataFrame:
     """`df` with elements of an array of strings replaced where they are "-" by patches (key, idx, new); indices beyond the array do nothing."""
-    grouped = patches.groupBy(key).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("idx", "new")))).alias("__new"))
+    once = patches.groupBy(key, "idx").agg(F.max("new").alias("new"))  # of several for one place the greatest
+    grouped = once.groupBy(key).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("idx", "new")))).alias("__new"))
     found = df.join(grouped, key, "left")
     new = F.transform(array, lambda x, i: F.when(x == "-", F.coalesce(F.try_element_at("__new", i), x)).otherwise(x))
     return found.withColumn(array, F.when(F.col("__new").isNull(), F.col(array)).otherwise(new)).drop("__new")
@@ -94,3 +95,9 @@ def row_counts(df: DataFrame, **conditions: Column) -> DataFrame:
 def each_row_once(df: DataFrame, by: list[str], order: list) -> DataFrame:
     """The first row of each group."""
     return df.withColumn("__n", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).where("__n = 1").drop("__n")
+
+
+def chat(asked: Column, told: Column) -> Column:
+    """A turn of each side in one string, between tags of the roles."""
+    said = [F.concat(F.lit(f"<{role}>\n"), text, F.lit(f"\n</{role}>")) for role, text in (("user", asked), ("assistant", told))]
+    return F.concat_ws("\n", *said)
