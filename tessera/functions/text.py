@@ -1,6 +1,6 @@
 """Text expressions. All are built-in Spark functions, so they stay in generated code."""
 
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -11,6 +11,11 @@ WORD = r"[\p{L}\p{N}_]+"
 EDGE = r"[^\p{L}\p{N}_'`êÊ]*"
 
 
+def once(c: Column, of: Callable[[Column], Column]) -> Column:
+    """What `of` makes of a value that it uses in several places, and that is computed once."""
+    return F.get(F.transform(F.array(c), of), F.lit(0))
+
+
 def strip(c: Column) -> Column:
     """Without white space at both ends (Spark's trim takes spaces only)."""
     return F.regexp_replace(c, r"^\s+|\s+$", "")

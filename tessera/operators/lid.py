@@ -5,7 +5,7 @@ from collections.abc import Iterable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from tessera.functions.text import lines, words
+from tessera.functions.text import lines, once, words
 
 #: Words of a language that count two, and one.
 WEIGHTS = {
@@ -29,18 +29,20 @@ def scored(parts: Column, langs: Iterable[str] = tuple(WEIGHTS)) -> Column:
 
 def label(text: Column, langs: Iterable[str] = tuple(WEIGHTS)) -> Column:
     """The best language of a text."""
-    return F.array_max(scored(words(text), langs))["lang"]
+    return once(words(text), lambda ws: F.array_max(scored(ws, langs))["lang"])
 
 
 def probabilities(text: Column, langs: Iterable[str], limit_before: bool = True) -> Column:
     """array<struct<p, turn, lang>> for `langs`: a softmax over them, or over all languages of which these are then picked."""
     use = sorted(lang for lang in langs if lang in WEIGHTS)
     over = use if limit_before else sorted(WEIGHTS)
-    parts = words(text)
-    scores = {lang: score(parts, lang).cast("double") for lang in over}
-    top = F.greatest(*scores.values()) if len(scores) > 1 else next(iter(scores.values()))
-    total = sum((F.exp(s - top) for s in scores.values()), F.lit(0.0))
-    return F.array(*[F.struct((F.exp(scores[lang] - top) / total).alias("p"), F.lit(-k).alias("turn"), F.lit(lang).alias("lang")) for k, lang in enumerate(use)])
+
+    def softmax(s: Column) -> Column:
+        top = F.greatest(*[s[lang] for lang in over]) if len(over) > 1 else s[over[0]]
+        total = sum((F.exp(s[lang] - top) for lang in over), F.lit(0.0))
+        return F.array(*[F.struct((F.exp(s[lang] - top) / total).alias("p"), F.lit(-k).alias("turn"), F.lit(lang).alias("lang")) for k, lang in enumerate(use)])
+
+    return once(once(words(text), lambda ws: F.struct(*[score(ws, lang).cast("double").alias(lang) for lang in over])), softmax)
 
 
 def _first_lines(text: Column, wanted: Iterable[str]) -> tuple[Column, Column, Column]:

@@ -116,14 +116,14 @@ def q_tokenise(spark: SparkSession, d: str) -> DataFrame:
 
 _SQL_RN = f"{SQL_IDS}, rows AS (SELECT (row_number() OVER (ORDER BY doc_id) - 1) // {BATCH_ROWS} AS batch, doc_id, ids FROM ids)"
 _SQL_STREAM = """stream AS (
-  SELECT batch, id, row_number() OVER (PARTITION BY batch ORDER BY doc_id, i) - 1 AS at
+  SELECT batch, id, row_number() OVER (PARTITION BY batch ORDER BY doc_id, i) - 1 AS spot
   FROM (SELECT batch, doc_id, unnest(list_append(ids, 0)) AS id, generate_subscripts(list_append(ids, 0), 1) AS i FROM rows WHERE len(ids) > 0)
 )"""
 
 
 @query(
     f"""WITH {_SQL_RN}, {_SQL_STREAM}
-SELECT batch, at // {SEQ_LEN} AS block, string_agg(id, ' ' ORDER BY at) AS input_ids FROM stream GROUP BY batch, at // {SEQ_LEN} HAVING count(*) = {SEQ_LEN}"""
+SELECT batch, spot // {SEQ_LEN} AS block, string_agg(id, ' ' ORDER BY spot) AS input_ids FROM stream GROUP BY batch, spot // {SEQ_LEN} HAVING count(*) = {SEQ_LEN}"""
 )
 def q_pack_blocks(spark: SparkSession, d: str) -> DataFrame:
     rows = numbered(token_lists(table(spark, d, "documents")), "doc_id")
