@@ -32,6 +32,8 @@ def seeds(w: np.ndarray, short: tuple[int, ...]) -> tuple[np.ndarray, np.ndarray
 def overlap(doc: np.ndarray, item: np.ndarray, shift: int) -> tuple[int, int, int]:
     """(start in item, agreeing words, length) of the best stretch of the item laid on the document at `shift`."""
     lo, hi = max(0, -shift), min(len(item), len(doc) - shift)
+    if hi <= lo:  # a place in another row of the same doc_id
+        return 0, 0, 0
     same = doc[lo + shift : hi + shift] == item[lo:hi]
     score = np.where(same, 1, -PENALTY).cumsum()
     before = np.minimum.accumulate(np.concatenate(([0], score[:-1])))

@@ -74,7 +74,9 @@ def _url(text: str, at: int) -> tuple[str, int, int] | None:
     while b > rest.end(1) and text[b - 1] in ".,;:!?)]}":
         b -= 1
     host = rest.group(1).rstrip(".")
-    return ("url", scheme.start(), max(b, rest.start(1) + len(host))) if host and (host[0] == "[" or any(c.isalnum() for c in host)) else None
+    if b == rest.end(1):
+        b = rest.start(1) + len(host)
+    return ("url", scheme.start(), b) if host and (host[0] == "[" or any(c.isalnum() for c in host)) else None
 
 
 def _number(text: str, at: int) -> tuple[str, int, int] | None:
