@@ -28,8 +28,8 @@ def scored(parts: Column, langs: Iterable[str] = tuple(WEIGHTS)) -> Column:
 
 
 def label(text: Column, langs: Iterable[str] = tuple(WEIGHTS)) -> Column:
-    """The best language of a text."""
-    return once(words(text), lambda ws: F.array_max(scored(ws, langs))["lang"])
+    """The best language of a text; null for a null text."""
+    return F.when(text.isNotNull(), once(words(text), lambda ws: F.array_max(scored(ws, langs))["lang"]))
 
 
 def probabilities(text: Column, langs: Iterable[str], limit_before: bool = True) -> Column:
