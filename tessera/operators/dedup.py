@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions.text import ngrams, words
-from tessera.sources.folders import shared_folder
+from tessera.sources.folders import checkpointed
 
 SHINGLE, THRESHOLD, LEAST_WORDS, BANDS, ROWS = 7, 0.8, 5, 24, 4
 
@@ -71,12 +71,6 @@ def clusters(pairs: DataFrame) -> DataFrame:
         last = now
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """`df` written once to the shared folder, without its lineage."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint()
-
-
 def deduplicated(docs: DataFrame, size: int = SHINGLE, **options) -> DataFrame:
     """`docs` with the least document of each cluster. Texts with the same words in a row are taken together before any are compared, so a text that is copied n times costs n rows."""
     parts = words(F.col("text"))

@@ -4,6 +4,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.text import clean_word, leading_symbols, ngrams, tokens, trailing_symbols, words
+from tessera.sources.folders import bounded
 
 
 def frequent_words(docs: DataFrame, least: int = 20) -> DataFrame:
@@ -38,16 +39,14 @@ def valid_share(docs: DataFrame, lexicon: DataFrame, other: DataFrame | None = N
     With `other` (word), words in neither list count as valid too; with `strict` instead only those of the lexicon that aren't in
     the other list. Texts without words have 0.
     """
-    each = docs.select("doc_id", "lang", F.explode_outer(words(F.col("text"))).alias("word")).groupBy("doc_id", "lang", "word").count()
-    met = each.join(lexicon.select("lang", "word", F.lit(True).alias("known")), ["lang", "word"], "left")
+    each = docs.select("doc_id", "lang", F.explode_outer(words(F.col("text"))).alias("word"))
+    met = each.join(bounded(lexicon.select("lang", "word").distinct().withColumn("known", F.lit(True))), ["lang", "word"], "left")
     known = F.coalesce("known", F.lit(False))
     if other is not None:
-        met = met.join(other.select("word", F.lit(True).alias("foreign")), "word", "left")
+        met = met.join(bounded(other.select("word").distinct().withColumn("foreign", F.lit(True))), "word", "left")
         foreign = F.coalesce("foreign", F.lit(False))
         known = (known & ~foreign) if strict else (known | ~foreign)
-    n = F.sum(F.when(F.col("word").isNotNull(), F.col("count")).otherwise(0))
-    good = F.sum(F.when(F.col("word").isNotNull() & known, F.col("count")).otherwise(0))
-    out = met.groupBy("doc_id").agg(n.alias("total_words"), good.alias("good"))
+    out = met.groupBy("doc_id").agg(F.count("word").alias("total_words"), F.count_if(F.col("word").isNotNull() & known).alias("good"))
     pct = F.when(F.col("total_words") > 0, F.col("good") * 100.0 / F.col("total_words")).otherwise(0.0)
     return out.select("doc_id", "total_words", F.round(pct, 6).alias("valid_pct"), F.round(F.when(F.col("total_words") > 0, 100.0 - pct).otherwise(0.0), 6).alias("invalid_pct"))
 
@@ -77,7 +76,7 @@ def glossary(docs: DataFrame, pairs: DataFrame, repeats: bool = False) -> DataFr
         return F.transform(ngrams(F.col("parts"), n), lambda g, i: F.struct(F.lit(-n).alias("n"), i.alias("i"), g.alias("gram")))
 
     each = cut.select("doc_id", F.explode(F.flatten(F.array(*map(placed, (3, 2, 1))))).alias("g")).select("doc_id", "g.n", "g.i", "g.gram")
-    met = each.join(pairs.where(F.size("translations") > 0), each["gram"] == F.col("word")).select("doc_id", "n", "i", "gram", "translations")
+    met = each.join(bounded(pairs.where(F.size("translations") > 0)), F.col("gram") == F.col("word")).select("doc_id", "n", "i", "gram", "translations")
     if not repeats:
         met = met.groupBy("doc_id", "n", "gram").agg(F.min("i").alias("i"), F.first("translations").alias("translations"))
     row = F.concat(F.lit("- "), F.col("gram"), F.lit(": "), F.array_join("translations", ", "), F.lit("\n"))
@@ -99,10 +98,10 @@ def matched(pairs: DataFrame, lexicon: DataFrame, known: DataFrame | None = None
     A word without translations stands for itself, unless it is among the `known` (word).
     """
     each = pairs.select("pair_id", F.array_distinct(words(F.col("ref"))).alias("there"), F.explode_outer(words(F.col("src"))).alias("word"))
-    met = each.join(lexicon, "word", "left")
+    met = each.join(bounded(lexicon), "word", "left")
     own = F.array("word")
     if known is not None:
-        met = met.join(known.select("word", F.lit(True).alias("known")), "word", "left")
+        met = met.join(bounded(known.select("word").distinct().withColumn("known", F.lit(True))), "word", "left")
         own = F.when(F.col("known"), F.array().cast("array<string>")).otherwise(own)
     hit = F.arrays_overlap(F.when(F.size(F.coalesce("translations", F.array().cast("array<string>"))) > 0, F.col("translations")).otherwise(own), "there")
     out = met.groupBy("pair_id").agg(F.count("word").alias("total_words"), F.count_if(F.col("word").isNotNull() & hit & (F.size("there") > 0)).alias("matched_words"))
@@ -116,7 +115,7 @@ def back_translated(pairs: DataFrame, lexicon: DataFrame) -> DataFrame:
     Of equally near ones the first listed; if none stands there the first listed; a word without translations stays.
     """
     each = pairs.select("pair_id", words(F.col("ref")).alias("there"), F.posexplode(words(F.col("src"))).alias("i", "word"))
-    met = each.join(lexicon.where(F.size("translations") > 0), "word", "left")
+    met = each.join(bounded(lexicon.where(F.size("translations") > 0)), "word", "left")
     places = lambda t: F.filter(F.transform("there", lambda x, k: F.when(x == t, F.abs(k - F.col("i")))), lambda d: d.isNotNull())
     near = F.filter(F.transform("translations", lambda t, k: F.struct(F.array_min(places(t)).alias("d"), k.alias("k"), t.alias("t"))), lambda s: s["d"].isNotNull())
     chosen = F.coalesce(F.array_min(near)["t"], F.get("translations", F.lit(0)), F.col("word"))
@@ -138,7 +137,9 @@ def corrected(docs: DataFrame, target: DataFrame, reverse: DataFrame) -> DataFra
     each = docs.select("doc_id", F.posexplode(pieces).alias("i", "piece")).withColumn("clean", clean_word(F.col("piece")))
     plain = F.rlike("clean", F.lit(r"^\p{Ll}+$"))
     each = each.withColumn("space", F.rlike("piece", F.lit(r"^\s+$"))).withColumn("key", F.when(plain, F.col("clean")))
-    met = each.join(target.select(F.col("word").alias("key"), F.lit(True).alias("known")), "key", "left").join(reverse.where(F.size("translations") > 0).select(F.col("word").alias("key"), F.get("translations", F.lit(0)).alias("to")), "key", "left")
+    listed = bounded(target.select(F.col("word").alias("key"), F.lit(True).alias("known")))
+    fixes = bounded(reverse.where(F.size("translations") > 0).select(F.col("word").alias("key"), F.get("translations", F.lit(0)).alias("to")))
+    met = each.join(listed, "key", "left").join(fixes, "key", "left")
     fixed = plain & F.col("known").isNull() & F.col("to").isNotNull()
     new = F.concat(leading_symbols(F.col("piece")), F.col("to"), trailing_symbols(F.col("piece")))
     met = met.withColumn("out", F.when(fixed, new).otherwise(F.col("piece"))).withColumn("fixed", fixed).withColumn("valid", ~F.col("space") & (~plain | F.col("known").isNotNull()))
@@ -151,3 +152,20 @@ def corrected(docs: DataFrame, target: DataFrame, reverse: DataFrame) -> DataFra
         "doc_id", F.array_join(F.transform("ws", lambda x: x["out"]), "").alias("corrected_text"), pct(F.col("good")).alias("valid_pct"),
         pct(F.col("n") - F.col("good") - F.col("new")).alias("invalid_pct"), pct(F.col("new")).alias("corrected_pct"), "corrections",
     )
+
+
+def entry_text(word: Column, translations: Column) -> Column:
+    """An entry as lines: the word, and its translations below it."""
+    return F.concat(word, F.lit(":\n"), F.array_join(F.transform(translations, lambda t: F.concat(F.lit("  - "), t, F.lit("\n"))), ""))
+
+
+def needs_translation(source: Column, target: Column) -> Column:
+    """Whether an entry has translations in one list and none in the other."""
+    none = F.array().cast("array<string>")
+    return (F.size(F.coalesce(source, none)) > 0) & (F.size(F.coalesce(target, none)) == 0)
+
+
+def drawn(lexicon: DataFrame, times: int = 2) -> DataFrame:
+    """(request_id, word, draw): each word so many times, in place of draws until all have come up as often."""
+    each = lexicon.select("word", F.explode(F.sequence(F.lit(1), F.lit(times))).alias("draw"))
+    return each.select(F.concat(F.lit("req_"), "word", F.lit("_"), F.col("draw").cast("string")).alias("request_id"), "word", "draw")

@@ -260,3 +260,20 @@ def q_verdict(spark: SparkSession, d: str) -> DataFrame:
     n = F.size(F.filter(F.split("text", r"\s+"), lambda x: x != ""))
     sized = table(spark, d, "documents").where("text is not null").select("doc_id", n.alias("w"))
     return _edits(spark, d).join(sized, "doc_id").select("doc_id", scores.verdict(F.col("judged"), F.col("n_edits"), F.col("w")).alias("verdict"))
+
+
+@query(f"WITH {SQL_LEXICON}, {SQL_PAIRED} SELECT word, word || ':' || chr(10) || array_to_string(list_transform(translations, lambda t: '  - ' || t || chr(10)), '') AS entry FROM paired")
+def q_entry_text(spark: SparkSession, d: str) -> DataFrame:
+    return _paired(spark, d).select("word", lex.entry_text(F.col("word"), F.col("translations")).alias("entry"))
+
+
+@query(f"WITH {SQL_LEXICON}, {SQL_PAIRED} SELECT 'req_' || word || '_' || k AS request_id, word, k AS draw FROM paired, (SELECT unnest([1, 2]) AS k)")
+def q_word_draws(spark: SparkSession, d: str) -> DataFrame:
+    return lex.drawn(_paired(spark, d))
+
+
+@query("SELECT doc_id FROM labels WHERE quality = 1 AND toxic = 0")
+def q_needs_translation(spark: SparkSession, d: str) -> DataFrame:
+    """Lists that are empty, null or filled by the labels."""
+    listed = lambda c: F.when(F.col(c) == 1, F.array(F.lit("word"))).when(F.col("doc_id") % 2 == 0, F.array().cast("array<string>"))
+    return table(spark, d, "labels").where(lex.needs_translation(listed("quality"), listed("toxic"))).select("doc_id")

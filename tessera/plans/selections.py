@@ -195,3 +195,10 @@ SELECT count(*) AS n_rows, count(*) FILTER (WHERE regexp_matches(text, '\S')) AS
 def q_row_counts(spark: SparkSession, d: str) -> DataFrame:
     text = F.col("text")
     return row_counts(table(spark, d, "documents"), n_filled=F.rlike(text, F.lit(r"\S")), n_sized=F.size(tokens(text)).between(10, 2000), n_fr=F.col("lang") == "fr")
+
+
+@query(f"SELECT doc_id FROM documents WHERE (text IS NULL OR text NOT IN (SELECT text FROM benchmark WHERE text IS NOT NULL)) AND len({sql_tokens('text')}) < 7500")
+def q_token_cap(spark: SparkSession, d: str) -> DataFrame:
+    """Texts that another table hasn't, below a length; the length is checked before the join."""
+    short = table(spark, d, "documents").where(F.size(tokens(F.col("text"))) < 7500)
+    return without_texts(short, table(spark, d, "benchmark")).select("doc_id")

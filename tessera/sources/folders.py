@@ -2,7 +2,11 @@
 
 import tempfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+#: Rows of a table that is sent to every executor; beyond it a join shuffles both sides.
+BROADCAST_ROWS = 1_000_000
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -17,3 +21,15 @@ def shared_folder(spark: SparkSession) -> str:
     if not there.isDefined():
         sc.setCheckpointDir(folder)
     return folder
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """`df` written once to the shared folder, without its lineage."""
+    shared_folder(df.sparkSession)
+    return df.checkpoint()
+
+
+def bounded(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
+    """`df` written once, and marked to be broadcast in joins if it has at most `most` rows."""
+    done = checkpointed(df)
+    return F.broadcast(done) if done.count() <= most else done
