@@ -104,15 +104,15 @@ def records_of(pages: DataFrame, chunk: int = CHUNK, segment: int = SEGMENT) ->
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out, size = [], 0
-            for row in zip(*(batch.column(c).to_pylist() for c in ("page_id", "url", "html"))):
-                page, url, html = row
-                block = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nTransfer-Encoding: chunked\r\n\r\n" + chunked(html.encode(), chunk)
+            html = batch.column("html")
+            for at, (page, url) in enumerate(zip(batch.column("page_id").to_pylist(), batch.column("url").to_pylist())):
+                block = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nTransfer-Encoding: chunked\r\n\r\n" + chunked(html[at].as_buffer().to_pybytes(), chunk)
                 origin = f"<urn:page:{page}>"
                 n = max(1, -(-len(block) // segment))
                 for k in range(n):
                     out.append((origin if k == 0 else f"<urn:page:{page}:{k + 1}>", "response" if k == 0 else "continuation", url, k + 1 if n > 1 else None, None if k == 0 else origin, len(block) if k == n - 1 and n > 1 else None, block[k * segment : (k + 1) * segment]))
                 size += len(block)
-                if size > 8_000_000:
+                if size > 4_000_000:
                     yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), _RECORD)], schema=_RECORD)
                     out, size = [], 0
             if out:
@@ -171,12 +171,14 @@ def _stream(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*found), _WHOLE)], schema=_WHOLE)
 
     for batch in batches:
-        for row in zip(*(batch.column(c).to_pylist() for c in ("origin", "target_uri", "number", "segment_total_length", "block"))):
+        block = batch.column("block")
+        for at, head in enumerate(zip(*(batch.column(c).to_pylist() for c in ("origin", "target_uri", "number", "segment_total_length")))):
+            row = (*head, block[at].as_py())
             if row[0] != origin:
                 if rows:
                     out.append(_put_together(rows))
                     size += out[-1][4]
-                    if size > 8_000_000:
+                    if size > 4_000_000:
                         yield batch_of(out)
                         out, size = [], 0
                 origin, rows = row[0], []
