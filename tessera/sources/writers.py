@@ -3,6 +3,8 @@
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.sources.folders import checkpointed
+
 
 def save(df: DataFrame, path: str, overwrite: bool = False) -> None:
     """Parquet; what is there already is an error, or replaced."""
@@ -36,22 +38,20 @@ def save_jsonl(df: DataFrame, path: str, append: bool = False) -> None:
     df.select(F.to_json(F.struct("*")).alias("value")).write.mode("append" if append else "overwrite").text(path)
 
 
-def numbered(df: DataFrame, *order, buckets: int = 64) -> DataFrame:
-    """`df` with `rn`, the row's number from 1 in the order of the given columns, the first of which may not be null.
+def numbered(df: DataFrame, *order) -> DataFrame:
+    """`df` with `rn`, the row's number from 1 in the order of the given columns.
 
-    A small sample of the first column bounds buckets of about equal size; rows are ranked within theirs and moved by the
-    counts of those before, so no task sees the whole table.
+    Rows are spread by ranges of the order, counted within their range, and moved by the counts of the ranges before: one shuffle, and no
+    task sees more than a range. Equal rows of the order are numbered in any order.
     """
     by = [F.col(c) if isinstance(c, str) else c for c in order]
-    n = df.count()
-    seen = sorted(r[0] for r in df.select(by[0].alias("k")).where("k is not null").sample(min(1.0, 40 * buckets / max(1, n)), seed=1).collect())
-    step = max(1, len(seen) // buckets)
-    bounds = sorted(set(seen[step::step]))
-    bucket = F.size(F.filter(F.array(*[F.lit(x) for x in bounds]), lambda x: x <= by[0])) if bounds else F.lit(0)
-    placed = df.withColumn("__bucket", bucket)
-    counts = placed.groupBy("__bucket").count().withColumn("__before", F.coalesce(F.sum("count").over(Window.orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    within = F.row_number().over(Window.partitionBy("__bucket").orderBy(*by))
-    return placed.withColumn("rn", within).join(counts.select("__bucket", "__before"), "__bucket").withColumn("rn", F.col("rn") + F.col("__before")).drop("__bucket", "__before")
+    ranged = checkpointed(df.repartitionByRange(*by).sortWithinPartitions(*by).withColumn("__at", F.monotonically_increasing_id()))
+    placed = ranged.withColumn("__range", F.shiftright("__at", 33))  # the id is the partition above 33 bits of the row's place in it
+    counts = placed.groupBy("__range").count()
+    before = F.coalesce(F.sum("count").over(Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = F.broadcast(counts.select("__range", before.alias("__before")))  # a row a partition
+    place = F.col("__at").bitwiseAND((1 << 33) - 1)
+    return placed.join(starts, "__range").withColumn("rn", place + F.col("__before") + 1).drop("__at", "__range", "__before")
 
 
 def shard_numbers(df: DataFrame, size: int, *order) -> DataFrame:
