@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm.common import read
 
-#: A line on so many distinct sites is boilerplate. Longer lines than MAX_CHARS are content, of which whole-document and passage deduplication takes care.
+#: A line on so many distinct sites is boilerplate. The query's SQL counts no line longer than MAX_CHARS; the pipeline's stage counts every line.
 MIN_SITES, MAX_CHARS, LG_K = 10, 160, 12
 
 ORACLE = f"""
@@ -33,15 +33,16 @@ def _normal(line: Column) -> Column:
     return F.lower(F.btrim(line, F.lit(" \t\r")))
 
 
-def boilerplate(docs: DataFrame, site: str = "source", min_sites: int = MIN_SITES, max_chars: int = MAX_CHARS, lg_k: int = LG_K) -> DataFrame:
+def boilerplate(docs: DataFrame, site: str = "source", min_sites: int = MIN_SITES, max_chars: int | None = MAX_CHARS, lg_k: int = LG_K) -> DataFrame:
     """(line_hash) of the lines that stand on at least `min_sites` distinct sites.
 
     A HyperLogLog sketch of the sites of each line is merged by the aggregation. Beyond three standard errors (and one
     site) around the threshold the sketch decides; the lines within get an exact count. Blank lines and lines of more
-    than max_chars characters are never boilerplate; a null site isn't a site.
+    than max_chars characters (if it isn't None) are never boilerplate; a null site isn't a site.
     """
     lines = docs.select(F.col(site).cast("string").alias("site"), F.explode(F.split("text", "\n")).alias("line")).select("site", _normal(F.col("line")).alias("line"))
-    lines = lines.where((F.length("line") > 0) & (F.length("line") <= max_chars)).select(F.xxhash64("line").alias("line_hash"), "site")
+    counted = (F.length("line") > 0) if max_chars is None else F.length("line").between(1, max_chars)
+    lines = lines.where(counted).select(F.xxhash64("line").alias("line_hash"), "site")
     margin = math.ceil(min_sites * 3 * 1.04 / math.sqrt(2**lg_k)) + 1
     spread = lines.groupBy("line_hash").agg(F.hll_sketch_estimate(F.hll_sketch_agg("site", F.lit(lg_k))).alias("sites")).where(F.col("sites") >= min_sites - margin)
     sure = spread.where(F.col("sites") > min_sites + margin).select("line_hash")
@@ -50,12 +51,12 @@ def boilerplate(docs: DataFrame, site: str = "source", min_sites: int = MIN_SITE
     return sure.unionByName(exact)
 
 
-def line_dedup(docs: DataFrame, site: str = "source", min_sites: int = MIN_SITES, max_chars: int = MAX_CHARS, lg_k: int = LG_K) -> DataFrame:
+def line_dedup(docs: DataFrame, site: str = "source", min_sites: int = MIN_SITES, max_chars: int | None = MAX_CHARS, lg_k: int = LG_K) -> DataFrame:
     """`docs` with two columns more, `__removed` and `__kept`: how many lines went, and the text that is left.
 
     docs has doc_id, text and the site's column; what other columns it has stay as they are. Lines are compared trimmed
     and in lower case. All occurrences of boilerplate go. A text of boilerplate alone has nothing else to protect and
-    stays whole, for whole-document deduplication; so do null and empty texts, in which nothing is removed. Rows of the
+    stays whole, for whole-document deduplication (without max_chars, its lines of up to MAX_CHARS go if a longer one is left); so do null and empty texts, in which nothing is removed. Rows of the
     same doc_id, or of a null one, are treated alike, each by its own text. An empty table gives no rows.
     """
     bad = boilerplate(docs, site, min_sites, max_chars, lg_k)
@@ -63,9 +64,13 @@ def line_dedup(docs: DataFrame, site: str = "source", min_sites: int = MIN_SITES
     of = at.join(bad, "line_hash", "left_semi").groupBy("__id").agg(F.collect_set("line_hash").alias("__bad"))
     found = docs.join(of, docs["doc_id"].eqNullSafe(F.col("__id")), "left").drop("__id")
     lines = F.split(F.col("text"), "\n")
-    kept = F.filter(lines, lambda x: ~F.array_contains("__bad", F.xxhash64(_normal(x))))
+    bad_line = lambda x: F.array_contains("__bad", F.xxhash64(_normal(x)))
+    text_in = lambda kept: F.exists(kept, lambda x: F.length(_normal(x)) > 0)
+    kept = F.filter(lines, lambda x: ~bad_line(x))
+    if max_chars is None:
+        kept = F.when(text_in(kept), kept).otherwise(F.filter(lines, lambda x: ~bad_line(x) | (F.length(_normal(x)) > MAX_CHARS)))
     found = found.withColumn("__lines", F.when(F.col("__bad").isNotNull(), kept))
-    some = F.col("__lines").isNotNull() & F.exists("__lines", lambda x: F.length(_normal(x)) > 0)
+    some = F.col("__lines").isNotNull() & text_in(F.col("__lines"))
     return found.select(
         *[docs[c] for c in docs.columns],
         F.when(some, F.size(lines) - F.size("__lines")).otherwise(0).alias("__removed"),
@@ -73,9 +78,9 @@ def line_dedup(docs: DataFrame, site: str = "source", min_sites: int = MIN_SITES
     )
 
 
-def without_boilerplate(docs: DataFrame, **options) -> DataFrame:
-    """`docs` with the boilerplate lines taken out of text, and n_chars, if there is one, counted anew."""
-    done = line_dedup(docs, **options)
+def without_boilerplate(docs: DataFrame, max_chars: int | None = None, **options) -> DataFrame:
+    """`docs` with the boilerplate lines, however long, taken out of text, and n_chars, if there is one, counted anew."""
+    done = line_dedup(docs, max_chars=max_chars, **options)
     new = {"text": F.col("__kept"), "n_chars": F.when(F.col("__removed") > 0, F.length("__kept").cast(dict(docs.dtypes).get("n_chars", "long"))).otherwise(F.col("n_chars")) if "n_chars" in docs.columns else None}
     return done.select(*[new[c].alias(c) if c in new else F.col(c) for c in docs.columns])
 

@@ -40,3 +40,17 @@ def test_stage_and_nothing(spark):
     out = linededup.without_boilerplate(docs(spark, given))
     assert out.columns == docs(spark, []).columns and {(r["text"], r["n_chars"]) for r in out.collect()} == {(f"own {k}", 5) for k in range(10)}
     assert rows(linededup.without_boilerplate(docs(spark, []))) == []
+
+
+def test_stage_takes_long_lines_too(spark):
+    long = "a long line of the footer " * 60
+    given = [(k, f"{long}\nown {k}\n{'rare ' * 50}{k % 9}", f"site{k}") for k in range(10)]
+    out = {r["doc_id"]: r["text"] for r in linededup.without_boilerplate(docs(spark, given)).collect()}
+    assert out == {k: f"own {k}\n{'rare ' * 50}{k % 9}" for k in range(10)}
+
+
+def test_long_shared_body_still_loses_its_footer(spark):
+    body = "a body that ten sites copied " * 20
+    given = [(k, f"{body}\nfooter", f"site{k}") for k in range(10)] + [(20, "footer", "x")]
+    out = {r["doc_id"]: r["text"] for r in linededup.without_boilerplate(docs(spark, given)).collect()}
+    assert out == {k: body for k in range(10)} | {20: "footer"}
