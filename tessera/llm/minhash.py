@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 
 from tessera.llm.common import components, grams, hashes, over_texts, read, settled, table, words
 
-SHINGLE, THRESHOLD, BANDS, ROWS = 3, 0.7, 20, 4
+#: A pair at the threshold shares a band with a chance of 1 - (1 - 0.5 ** 3) ** 27 = 0.97. Copies in which up to 12 % of the
+#: words, anywhere, are others keep a Jaccard similarity of f / (2 - f) >= 0.5, f = 0.88 ** 3 being the share of unbroken shingles.
+SHINGLE, THRESHOLD, BANDS, ROWS = 3, 0.5, 27, 3
 #: SQL has no circulant permutation, so the query is tested against brute force.
 ORACLE = None
 _SIGNED = pa.schema([("doc_id", pa.int64()), ("content", pa.string()), ("bands", pa.list_(pa.int64()))])

@@ -68,3 +68,38 @@ def test_keep_one(spark):
     assert kept.columns == given.columns
     assert sorted(i for (i,) in kept.select("doc_id").collect() if i is not None) == [1, 2, 5, 6, 7, 8, 9] and kept.where("doc_id is null").count() == 2
     assert rows(minhash.near_duplicates(docs(spark, []))) == [] and rows(minhash.keep_one(docs(spark, []))) == []
+
+
+def test_copies_with_a_tenth_of_the_words_replaced(spark):
+    rng = random.Random(11)
+    given = []
+    for group in range(60):
+        base = [f"g{rng.randrange(5000)}" for _ in range(200)]
+        text = list(base)
+        for k in rng.sample(range(200), 20):
+            text[k] = f"new{rng.random()}"
+        given += [(2 * group, " ".join(base)), (2 * group + 1, " ".join(text))]
+    found = rows(minhash.near_duplicates(docs(spark, given)).select("doc_id", "duplicate_of"))
+    assert set(found) <= {(2 * g + 1, 2 * g) for g in range(60)} and len(found) >= 0.95 * 60
+
+
+def test_recall_at_the_threshold():
+    rng = random.Random(12)
+    shared = 0
+    for _ in range(400):
+        both = [rng.getrandbits(64) for _ in range(300)]
+        a, b = (minhash.np.unique(minhash.np.array(both[:200] + [rng.getrandbits(64) for _ in range(100)], minhash.np.uint64)) for _ in range(2))
+        s = minhash.signatures([a, b], minhash.BANDS * minhash.ROWS).reshape(2, minhash.BANDS, minhash.ROWS)
+        shared += (s[0] == s[1]).all(1).any()
+    assert shared >= 0.95 * 400  # 200 of 400 shingles are common
+
+
+def test_chain_beyond_the_least_at_a_higher_threshold(spark):
+    words = [f"t{k}" for k in range(100)]
+    a, b, c = words[:], words[:], words[:]
+    for k in range(0, 100, 12):
+        b[k] = c[k] = f"z{k}"
+    c[1] = "q"
+    given = [(1, " ".join(a)), (2, " ".join(b)), (3, " ".join(c))]
+    found = rows(minhash.near_duplicates(docs(spark, given), threshold=0.7, bands=40, rows=1).select("doc_id", "duplicate_of"))
+    assert found == brute(given, 0.7) == [(3, 2)]
