@@ -5,6 +5,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -23,9 +24,11 @@ SECOND_PERSON = frozenset("you your yours yourself u ur youre".split())
 REPORTED = frozenset("quote quoted quotes quoting said says wrote writes called calls calling word words term terms phrase slur insult insults define defined definition means meaning".split())
 #: Labelled documents of each kind from which terms are learned, and what a learned term must show.
 LABELLED, MIN_CONTEXTS, MIN_ODDS = 3000, 4, 30
+#: A neighbour of a term is a word of its own if less than this share of its distinct contexts, MIN_CONTEXTS or more, has an exact hit.
+OWN_SHARE = 0.1
 #: SQL can't express the context scores; tested against brute force.
 ORACLE = None
-_SCHEMA = pa.schema([("doc_id", pa.int64()), ("word", pa.string()), ("term", pa.string()), ("edits", pa.int32()), ("quoted", pa.bool_()), ("score", pa.float64())])
+_SCHEMA = pa.schema([("doc_id", pa.int64()), ("word", pa.string()), ("term", pa.string()), ("edits", pa.int32()), ("quoted", pa.bool_()), ("score", pa.float64()), ("context", pa.int64()), ("beside", pa.bool_())])
 _CONTEXTS = pa.schema([("word", pa.string()), ("context", pa.int64()), ("toxic", pa.bool_())])
 _QUOTES = re.compile(r"[\"“”„«»]")
 
@@ -118,12 +121,13 @@ class Lexicon:
         return self.ends[state]
 
 
-def hits(text: str, found: dict[int, tuple[int, str]], window: int = WINDOW) -> list[tuple[str, str, int, bool, float]]:
-    """(word, term, edits, quoted, score) of each hit in a text, `found` being the matches by word number.
+def hits(text: str, found: dict[int, tuple[int, str]], window: int = WINDOW) -> list[tuple[str, str, int, bool, float, int, bool]]:
+    """(word, term, edits, quoted, score, context, beside) of each hit in a text, `found` being the matches by word number.
 
     A hit weighs by its edits. It is quoted, and counts QUOTED times as much, if quotation marks are open around it in its
     line or a word of reporting stands in its window. Unquoted it gains a quarter for each exact hit in its window
     and a half for a word in the second person there.
+    context is a hash of the words in its window, beside whether an exact hit is one of them.
     """
     spans = [m.span() for m in WORD.finditer(text)]
     lowered = [text[a:b].lower() for a, b in spans]
@@ -136,8 +140,10 @@ def hits(text: str, found: dict[int, tuple[int, str]], window: int = WINDOW) ->
         before, after = text[text.rfind("\n", 0, a) + 1 : a], text[b : line_end if line_end >= 0 else len(text)]
         marked = len(_QUOTES.findall(before)) % 2 == 1 and _QUOTES.search(after) is not None
         quoted = marked or not REPORTED.isdisjoint(near)
-        lift = QUOTED if quoted else 1 + 0.25 * sum(1 for j in exact if 0 < abs(j - i) <= window) + 0.5 * (not SECOND_PERSON.isdisjoint(near))
-        out.append((lowered[i], term, e, quoted, WEIGHTS[e] * lift))
+        beside = sum(1 for j in exact if 0 < abs(j - i) <= window)
+        lift = QUOTED if quoted else 1 + 0.25 * beside + 0.5 * (not SECOND_PERSON.isdisjoint(near))
+        score = WEIGHTS[e] * lift
+        out.append((lowered[i], term, e, quoted, score, xxhash.xxh64_intdigest(" ".join(near)) - (1 << 63), beside > 0))
     return out
 
 
@@ -169,15 +175,15 @@ def toxic(docs: DataFrame, terms: Iterable[str] = LEXICON, exact: Iterable[str]
     """(doc_id, score, n_abusive, n_quoted, terms) of the documents whose hits score at least `threshold` together.
 
     docs has doc_id and text; other columns are ignored. Whole texts are read. `exact` are terms of which no misspelling counts. A word close to a term counts as a misspelling
-    only if the corpus has it in no more documents than the term itself (or in two at most): what is more frequent is a word
-    of its own. Null and empty texts, and null doc_ids, are never toxic; rows of the same doc_id are one document. An empty table gives
+    unless it is a word of its own: one with MIN_CONTEXTS distinct contexts at least, of which less than OWN_SHARE have an exact hit.
+    Copies have one context together, and a word of fewer contexts has shown nothing against it. Null and empty texts, and null doc_ids, are never toxic; rows of the same doc_id are one document. An empty table gives
     no rows.
     """
     texts = docs.select(docs["doc_id"].cast("long").alias("doc_id"), "text").where("doc_id is not null and text is not null")
-    found = settled(texts.mapInArrow(_run(tuple(sorted({t.lower() for t in terms if t})), tuple(sorted({t.lower() for t in exact if t})), prefix, window), "doc_id long, word string, term string, edits int, quoted boolean, score double"))
-    spread = found.groupBy("word", "term", "edits").agg(F.countDistinct("doc_id").alias("n"))
-    exact = spread.where("edits = 0").select("term", F.col("n").alias("usual"))
-    own = spread.where("edits > 0").join(exact, "term", "left").where("n > greatest(2, coalesce(usual, 0))").select("word")
+    found = settled(texts.mapInArrow(_run(tuple(sorted({t.lower() for t in terms if t})), tuple(sorted({t.lower() for t in exact if t})), prefix, window), "doc_id long, word string, term string, edits int, quoted boolean, score double, context long, beside boolean"))
+    seen = found.where("edits > 0").groupBy("word", "context").agg(F.max("beside").alias("beside"))
+    spread = seen.groupBy("word").agg(F.count("*").alias("n"), F.count_if("beside").alias("with_hit"))
+    own = spread.where((F.col("n") >= MIN_CONTEXTS) & (F.col("with_hit") < OWN_SHARE * F.col("n"))).select("word")
     kept = found.join(own, "word", "left_anti")
     scored = kept.groupBy("doc_id").agg(F.round(F.sum("score"), 6).alias("score"), F.count_if(~F.col("quoted")).alias("n_abusive"), F.count_if("quoted").alias("n_quoted"), F.array_sort(F.collect_set("term")).alias("terms"))
     return scored.where(F.col("score") >= threshold)

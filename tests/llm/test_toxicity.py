@@ -53,3 +53,10 @@ def test_terms_are_learned(spark):
     labels = spark.createDataFrame([(k, 1, int(k < 20)) for k in range(60)] + [(None, 1, 1), (1, 1, None)], "doc_id long, quality int, toxic int")
     assert toxicity.learned_terms(docs(spark, given), labels) == ["zorgle"]
     assert toxicity.learned_terms(docs(spark, given), labels.where("false")) == []
+
+
+def test_copies_and_corpus_size_keep_a_misspelling(spark):
+    one = "so you are patthetic and idiott to nobody"
+    for copies in (1, 2, 3, 12):
+        given = [(k, one) for k in range(copies)]
+        assert {r["doc_id"] for r in toxicity.toxic(docs(spark, given)).collect()} == set(range(copies)), copies
