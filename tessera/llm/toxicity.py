@@ -17,7 +17,7 @@ LEXICON = (
     "motherfucker retard retarded whore slut douchebag degenerate filthy"
 ).split()
 #: Letters of the term that must agree, words on either side that make up a hit's context, and the score from which a document is toxic.
-PREFIX, WINDOW, THRESHOLD = 1, 8, 1.0
+PREFIX, WINDOW, THRESHOLD = 0, 8, 1.0
 #: What a hit counts by its edits, and in quotation.
 WEIGHTS, QUOTED = (1.0, 0.6, 0.4), 0.3
 SECOND_PERSON = frozenset("you your yours yourself u ur youre".split())
@@ -34,8 +34,8 @@ _QUOTES = re.compile(r"[\"“”„«»]")
 
 
 def edits(term: str) -> int:
-    """Edits that a term allows: none under five letters, one under eight, else two."""
-    return 0 if len(term) < 5 else 1 if len(term) < 8 else 2
+    """Edits that a term allows: none under four letters, one under eight, else two."""
+    return 0 if len(term) < 4 else 1 if len(term) < 8 else 2
 
 
 class Lexicon:
@@ -126,7 +126,7 @@ def hits(text: str, found: dict[int, tuple[int, str]], window: int = WINDOW) ->
 
     A hit weighs by its edits. It is quoted, and counts QUOTED times as much, if quotation marks are open around it in its
     line or a word of reporting stands in its window. Unquoted it gains a quarter for each exact hit in its window
-    and a half for a word in the second person there.
+    and a half for a word in the second person there; with either, a misspelled hit counts as an exact one at least.
     context is a hash of the words in its window, beside whether an exact hit is one of them.
     """
     spans = [m.span() for m in WORD.finditer(text)]
@@ -142,7 +142,7 @@ def hits(text: str, found: dict[int, tuple[int, str]], window: int = WINDOW) ->
         quoted = marked or not REPORTED.isdisjoint(near)
         beside = sum(1 for j in exact if 0 < abs(j - i) <= window)
         lift = QUOTED if quoted else 1 + 0.25 * beside + 0.5 * (not SECOND_PERSON.isdisjoint(near))
-        score = WEIGHTS[e] * lift
+        score = max(WEIGHTS[e] * lift, WEIGHTS[0] if lift > 1 else 0.0)
         out.append((lowered[i], term, e, quoted, score, xxhash.xxh64_intdigest(" ".join(near)) - (1 << 63), beside > 0))
     return out
 

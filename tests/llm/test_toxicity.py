@@ -60,3 +60,12 @@ def test_copies_and_corpus_size_keep_a_misspelling(spark):
     for copies in (1, 2, 3, 12):
         given = [(k, one) for k in range(copies)]
         assert {r["doc_id"] for r in toxicity.toxic(docs(spark, given)).collect()} == set(range(copies)), copies
+    # commoner than the correct spelling, beside other hits
+    given = [(k, f"note{k} about{k} him: a stupid mooron of kind{k}") for k in range(20)] + [(50 + k, f"day{k} then{k} you mooron again{k}") for k in range(20)]
+    found = {r["doc_id"] for r in toxicity.toxic(docs(spark, given)).collect()}
+    assert found == {r[0] for r in given}
+
+
+def test_one_misspelled_hit_in_abusive_context(spark):
+    given = [(1, "you pathettik one"), (2, "are you a 1diot"), (3, "you oron"), (4, "you scumm"), (5, "so dumbb you were"), (6, "a pathettik day"), (7, 'you wrote "pathettik" there')]
+    assert {r["doc_id"] for r in toxicity.toxic(docs(spark, given)).collect()} == {1, 2, 3, 4, 5}
