@@ -20,7 +20,9 @@ _SUM = pa.schema([("i", pa.int32()), ("j", pa.int32()), ("x", pa.float64())])
 
 
 def _matrix(batch: pa.RecordBatch, dim: int) -> np.ndarray:
-    return batch.column("embedding").flatten().to_numpy(zero_copy_only=False).reshape(-1, dim).astype(float)
+    """The vectors of a batch, each divided by its norm."""
+    x = batch.column("embedding").flatten().to_numpy(zero_copy_only=False).reshape(-1, dim).astype(float)
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
 def _summed(vectors: DataFrame, dim: int, of) -> np.ndarray:
@@ -68,13 +70,39 @@ def learned(vectors: DataFrame, dim: int, n: int, rotations: int, rounds: int =
     return mean, [axes @ r for r in turns]
 
 
-def tables(n: int, threshold: float, missed: float = MISSED) -> tuple[int, int]:
+def centred_norms(vectors: DataFrame, dim: int, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """(norms, shares): how the norms of the unit vectors less their mean are spread, in steps of 1 / 128."""
+    mean = _summed(vectors, dim, lambda x: x.sum(0)[None])[0] / n
+    counts = _summed(vectors, dim, lambda x: np.histogram(np.linalg.norm(x - mean, axis=1), 257, (0, 257 / 128))[0][None].astype(float))[0]
+    some = np.flatnonzero(counts)
+    return (some + 0.5) / 128, counts[some] / counts.sum()
+
+
+def tables(n: int, threshold: float, missed: float = MISSED, norms: tuple[np.ndarray, np.ndarray] | None = None) -> tuple[int, int]:
     """(bits of a table's keys, tables) for n vectors: about one vector a key, and keys that differ in one bit at most in one table
-    or another for all but `missed` of the pairs at the threshold, whose codes differ in a bit with the chance angle / pi."""
-    bits = max(8, min(30, math.ceil(math.log2(max(2, n)))))
-    p = math.acos(min(1.0, threshold)) / math.pi
-    near = (1 - p) ** bits + bits * p * (1 - p) ** (bits - 1)
-    return bits, max(1, math.ceil(math.log(missed) / math.log(max(1e-9, 1 - near)))) if near < 1 else 1
+    or another for all but `missed` of the pairs at the threshold, whose codes differ in a bit with the chance angle / pi.
+
+    The angle is that after centring: the pair's distance seen from the mean, `norms` (and shares) away, at most a right one. Where
+    it is wide, shorter keys can need fewer rows in all, of tables and chance meetings.
+    """
+    far, share = norms or (np.ones(1), np.ones(1))
+    p = np.minimum(0.5, 2 / math.pi * np.arcsin(np.minimum(1, math.sqrt(max(0.0, 2 - 2 * threshold)) / 2 / far)))
+
+    def count(bits: int) -> int:
+        miss = 1 - np.minimum(1, (1 - p) ** bits + bits * p * (1 - p) ** (bits - 1))
+        lo, hi = 0, 1
+        while share @ miss**hi > missed:
+            lo, hi = hi, 2 * hi
+        while hi - lo > 1:
+            mid = (lo + hi) // 2
+            lo, hi = (mid, hi) if share @ miss**mid > missed else (lo, mid)
+        return hi
+
+    most = max(8, min(30, math.ceil(math.log2(max(2, n)))))
+    if norms is None:
+        return most, count(most)
+    bits = min(range(most, 0, -1), key=lambda b: count(b) * (b + 2 + n * (b + 1) / 2**b))
+    return bits, count(bits)
 
 
 def _codes(mean: np.ndarray, axes: np.ndarray, dim: int, bits: int, count: int):
@@ -112,7 +140,7 @@ def _cosines(threshold: float):
 def near_pairs(vectors: DataFrame, threshold: float = THRESHOLD, rounds: int = ROUNDS, missed: float = MISSED) -> DataFrame:
     """(a, b, cosine) of the pairs a < b of vectors with a cosine of at least `threshold`, each vector being a query.
 
-    vectors has vec_id and embedding; other columns are ignored. Codes are balanced by rotations of the principal axes,
+    vectors has vec_id and embedding; other columns are ignored. Codes are of the unit vectors less their mean, balanced by rotations of the principal axes,
     learned from all vectors. A pair is found if its keys differ in at most one bit in any table, and kept by the cosine of
     the original vectors; keys grow and tables multiply with the number of vectors, so that a key stays about one
     vector's and `missed` of the pairs at the threshold are expected to be missed, fewer of closer ones. Null ids and
@@ -128,7 +156,7 @@ def near_pairs(vectors: DataFrame, threshold: float = THRESHOLD, rounds: int = R
         return spark.createDataFrame([], "a long, b long, cosine double")
     dim, n = sizes[0]["dim"], sizes[0]["count"]
     use = use.where(F.size("embedding") == dim)
-    bits, count = tables(n, threshold, missed)
+    bits, count = tables(n, threshold, missed, centred_norms(use, dim, n))
     mean, axes = learned(use, dim, n, -(-bits * count // dim), rounds)
     coded = settled(use.mapInArrow(_codes(mean, np.hstack(axes), dim, bits, count), "vec_id long, keys array<long>, near array<long>"))
     build = coded.select(F.col("vec_id").alias("b"), F.explode("keys").alias("key"))

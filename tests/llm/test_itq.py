@@ -33,3 +33,20 @@ def test_odd_vectors(spark):
 def test_tables_grow_with_the_vectors():
     small, large = itq.tables(1000, 0.95), itq.tables(100_000_000, 0.95)
     assert large[0] > small[0] and large[1] > small[1]
+
+
+def test_norms_and_a_common_component(spark):
+    rng = np.random.default_rng(2)
+    for common in (0.5, 1.5):
+        base = rng.standard_normal((1500, 32)) / 32**0.5
+        base[:, 0] += common
+        unit = base / np.linalg.norm(base, axis=1, keepdims=True)
+        near = unit[:500] + rng.standard_normal((500, 32)) * 0.055
+        every = np.vstack([unit, near, unit[:50] * 7])
+        every = (every * 5.0 ** rng.uniform(-1, 1, (len(every), 1))).astype(np.float32)
+        unit = every.astype(float) / np.linalg.norm(every, axis=1, keepdims=True).astype(float)
+        cosine = unit @ unit.T
+        want = {(a, b) for a, b in zip(*np.nonzero(np.triu(cosine >= 0.95, 1)))}
+        found = {(r["a"], r["b"]) for r in itq.near_pairs(table(spark, [(i, v.tolist()) for i, v in enumerate(every)])).collect()}
+        assert len(want) > 300 and len(found & want) >= 0.98 * len(want), common
+        assert {(k, 2000 + k) for k in range(50)} <= found  # parallel vectors
