@@ -1,6 +1,7 @@
 """Byte-level BPE encoding and decoding in batched numpy merge rounds, with the vocabulary of a public tokenizer."""
 
 import base64
+import heapq
 from collections.abc import Iterator
 
 import numpy as np
@@ -17,8 +18,10 @@ PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?
 ORACLE = None
 _SCHEMA = pa.schema([("doc_id", pa.int64()), ("n_tokens", pa.int64()), ("token_ids", pa.list_(pa.int32())), ("decodes", pa.bool_())])
 _NONE = np.iinfo(np.int64).max
-#: Distinct words, and bytes of one batch of them, that an encoder keeps or merges at once.
-KEPT, BATCH_BYTES = 400_000, 2_000_000
+#: Distinct words and token ids that an encoder keeps, and bytes of one batch of words that it merges at once.
+KEPT, KEPT_IDS, BATCH_BYTES = 400_000, 4_000_000, 2_000_000
+#: Bytes from which a word is merged by itself, through a heap of its pairs, as rounds would take the square of its length.
+LONG = 512
 
 
 class Encoder:
@@ -39,6 +42,7 @@ class Encoder:
         self.bytes = [b""] * (max(ranks.values()) + 1)
         for token, rank in ranks.items():
             self.bytes[rank] = token
+        self.pairs: dict[int, int] | None = None
         self.forget()
 
     def forget(self) -> None:
@@ -85,8 +89,50 @@ class Encoder:
         take = np.repeat(begin - (np.cumsum(counts) - counts), counts) + np.arange(total)
         return ids[take].astype(np.int32), counts
 
+    def merge_long(self, word: bytes) -> np.ndarray:
+        """The ids of one long word: the pair of the lowest rank is merged, the leftmost of equal ones, until there is none, in n log n steps."""
+        start = self.byte[np.frombuffer(word, np.uint8)]
+        n = len(start)
+        key = start[:-1] << 32 | start[1:]
+        at = np.searchsorted(self.key, key)
+        rank = np.where(self.key[at] == key, self.to[at], -1)
+        some = np.flatnonzero(rank >= 0)
+        heap = np.sort(rank[some] << 32 | some).tolist()  # in order, so a heap
+        ids, now = start.tolist(), [*rank.tolist(), -1]
+        behind, before = list(range(1, n + 1)), list(range(-1, n - 1))
+        if self.pairs is None:
+            self.pairs = dict(zip(self.key[:-1].tolist(), self.to[:-1].tolist()))
+        get, pop, push = self.pairs.get, heapq.heappop, heapq.heappush
+        while heap:
+            top = pop(heap)
+            i, r = top & 0xFFFFFFFF, top >> 32
+            if now[i] != r:  # merged or changed since
+                continue
+            gone = behind[i]
+            ids[i], now[gone] = r, -1
+            ids[gone] = -1
+            behind[i] = k = behind[gone]
+            now[i] = -1
+            if k < n:
+                before[k] = i
+                if (new := get(r << 32 | ids[k], -1)) >= 0:
+                    now[i] = new
+                    push(heap, new << 32 | i)
+            if (p := before[i]) >= 0:
+                now[p] = new = get(ids[p] << 32 | r, -1)
+                if new >= 0:
+                    push(heap, new << 32 | p)
+        done = np.array(ids, np.int64)
+        return done[done >= 0].astype(np.int32)
+
     def _learn(self, words: list[str]) -> None:
         raw = [w.encode() for w in words]
+        if max(map(len, raw)) >= LONG:
+            for long in (w for w, b in zip(words, raw) if len(b) >= LONG):
+                ids = self.merge_long(long.encode())
+                self.known[long] = len(self.known)
+                self.start, self.size, self.ids = np.append(self.start, len(self.ids)), np.append(self.size, len(ids)), np.concatenate((self.ids, ids))
+            words, raw = [w for w, b in zip(words, raw) if len(b) < LONG], [b for b in raw if len(b) < LONG]
         at = 0
         while at < len(raw):
             end, size = at, 0
@@ -101,7 +147,7 @@ class Encoder:
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """The token ids of each text."""
-        if len(self.known) > KEPT:
+        if len(self.known) > KEPT or len(self.ids) > KEPT_IDS:
             self.forget()
         split = [self.split.findall(t) for t in texts]
         if new := [w for w in dict.fromkeys(w for s in split for w in s) if w not in self.known]:
@@ -156,7 +202,7 @@ def encode(docs: DataFrame, path: str = VOCABULARY) -> DataFrame:
     """(doc_id, n_tokens, token_ids, decodes) of every row: the text's tokens, and whether they decode to it exactly.
 
     docs has doc_id and text; other columns are ignored. The vocabulary is read by the driver. Whole texts are encoded, however
-    long. A null text has null token_ids and decodes and 0 tokens, an empty one an empty list. Every row gives one row, also
+    long; a word of LONG bytes or more takes n log n steps. Equal texts have equal ids. A null text has null token_ids and decodes and 0 tokens, an empty one an empty list. Every row gives one row, also
     those with a null or repeated doc_id; an empty table gives none.
     """
     shared = docs.sparkSession.sparkContext.broadcast(vocabulary(path))
@@ -176,7 +222,11 @@ def _unrun(shared):
 
 
 def decode(tokens: DataFrame, path: str = VOCABULARY) -> DataFrame:
-    """(doc_id, text) of rows with doc_id and token_ids; null token_ids give a null text."""
+    """(doc_id, text) of rows with doc_id and token_ids; other columns are ignored.
+
+    Null token_ids give a null text, empty ones an empty text; lists of any length are decoded whole, each row by itself, also those of null or repeated
+    doc_ids. An id outside the vocabulary, or a null one, is an error. An empty table gives no rows.
+    """
     shared = tokens.sparkSession.sparkContext.broadcast(vocabulary(path))
     return tokens.select(tokens["doc_id"].cast("long").alias("doc_id"), "token_ids").mapInArrow(_unrun(shared), "doc_id long, text string")
 

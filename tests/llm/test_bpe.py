@@ -1,4 +1,5 @@
 import random
+import time
 
 import tiktoken
 from hypothesis import given as cases
@@ -27,6 +28,26 @@ def test_long_words():
     assert [x.tolist() for x in OURS.encode(texts)] == [OTHER.encode_ordinary(t) for t in texts]
 
 
+def test_words_of_a_megabyte():
+    rng = random.Random(3)
+    cjk = "".join(chr(rng.randrange(0x4E00, 0x9FA5)) for _ in range(340_000))
+    b64 = "".join(rng.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz") for _ in range(1_000_000))
+    for text in ("a" * 1_000_000, "ab" * 500_000, cjk, b64):
+        began = time.thread_time()
+        (ids,) = OURS.encode([text])
+        assert time.thread_time() - began < 60
+        assert OURS.decode(ids) == text
+        assert ids.tolist() == OTHER.encode_ordinary(text)
+
+
+def test_both_ways_to_merge():
+    rng = random.Random(4)
+    for _ in range(300):
+        word = "".join(rng.choice("abehint nrsé") for _ in range(rng.randint(2, 60))).encode()
+        ids, n = OURS.merge([word])
+        assert OURS.merge_long(word).tolist() == ids.tolist() and n.tolist() == [len(ids)]
+
+
 def test_table(spark):
     given = docs(spark, [(1, "Hello world, été!"), (1, "again"), *ODD])
     done = bpe.encode(given)
