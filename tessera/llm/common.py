@@ -113,6 +113,16 @@ def settled(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def packed(docs: DataFrame, **columns) -> DataFrame:
+    """`docs` with each row in one struct, `row`, beside the given columns: no name of theirs can clash with one of docs."""
+    return docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), *[column.alias(name) for name, column in columns.items()])
+
+
+def unpacked(rows: DataFrame, columns: list[str]) -> DataFrame:
+    """The rows of packed(), with their own columns alone."""
+    return rows.select(*[F.col("row")[c].alias(c) for c in columns])
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) of the graph with `edges` (a, b): root is the least node of the component.
 

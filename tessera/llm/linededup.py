@@ -5,17 +5,17 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import read
+from tessera.llm.common import packed, read, settled
 
-#: A line on so many distinct sites is boilerplate. The query's SQL counts no line longer than MAX_CHARS; the pipeline's stage counts every line.
-MIN_SITES, MAX_CHARS, LG_K = 10, 160, 12
+#: A line on so many distinct sites is boilerplate, however long. Sketches of the sites have 2 ** LG_K buckets.
+MIN_SITES, LG_K = 10, 12
 
 ORACLE = f"""
 WITH normal AS (
   SELECT source, lower(trim(line, ' ' || chr(9) || chr(13))) AS line
   FROM (SELECT source, unnest(string_split(text, chr(10))) AS line FROM documents WHERE text IS NOT NULL)
 ), boiler AS (
-  SELECT line FROM normal WHERE line <> '' AND length(line) <= {MAX_CHARS}
+  SELECT line FROM normal WHERE line <> ''
   GROUP BY line HAVING count(DISTINCT source) >= {MIN_SITES}
 ), b AS (
   SELECT list(line) AS ls FROM boiler
@@ -33,16 +33,14 @@ def _normal(line: Column) -> Column:
     return F.lower(F.btrim(line, F.lit(" \t\r")))
 
 
-def boilerplate(docs: DataFrame, site: str = "source", min_sites: int = MIN_SITES, max_chars: int | None = MAX_CHARS, lg_k: int = LG_K) -> DataFrame:
-    """(line_hash) of the lines that stand on at least `min_sites` distinct sites.
+def _hashed(docs: DataFrame, site: str) -> DataFrame:
+    """(site, t1, t2, lines): of every text its site, two hashes of it, and the hashes of its distinct lines but blank ones."""
+    lines = F.array_distinct(F.transform(F.filter(F.transform(F.split(docs["text"], "\n"), _normal), lambda x: F.length(x) > 0), lambda x: F.xxhash64(x)))
+    return docs.where(docs["text"].isNotNull()).select(docs[site].cast("string").alias("site"), F.xxhash64(docs["text"]).alias("t1"), F.xxhash64(docs["text"], F.lit(1)).alias("t2"), lines.alias("lines"))
 
-    A HyperLogLog sketch of the sites of each line is merged by the aggregation. Beyond three standard errors (and one
-    site) around the threshold the sketch decides; the lines within get an exact count. Blank lines and lines of more
-    than max_chars characters (if it isn't None) are never boilerplate; a null site isn't a site.
-    """
-    lines = docs.select(F.col(site).cast("string").alias("site"), F.explode(F.split("text", "\n")).alias("line")).select("site", _normal(F.col("line")).alias("line"))
-    counted = (F.length("line") > 0) if max_chars is None else F.length("line").between(1, max_chars)
-    lines = lines.where(counted).select(F.xxhash64("line").alias("line_hash"), "site")
+
+def _spread(hashed: DataFrame, min_sites: int, lg_k: int) -> DataFrame:
+    lines = hashed.select("site", F.explode("lines").alias("line_hash"))
     margin = math.ceil(min_sites * 3 * 1.04 / math.sqrt(2**lg_k)) + 1
     spread = lines.groupBy("line_hash").agg(F.hll_sketch_estimate(F.hll_sketch_agg("site", F.lit(lg_k))).alias("sites")).where(F.col("sites") >= min_sites - margin)
     sure = spread.where(F.col("sites") > min_sites + margin).select("line_hash")
@@ -51,40 +49,48 @@ def boilerplate(docs: DataFrame, site: str = "source", min_sites: int = MIN_SITE
     return sure.unionByName(exact)
 
 
-def line_dedup(docs: DataFrame, site: str = "source", min_sites: int = MIN_SITES, max_chars: int | None = MAX_CHARS, lg_k: int = LG_K) -> DataFrame:
-    """`docs` with two columns more, `__removed` and `__kept`: how many lines went, and the text that is left.
+def boilerplate(docs: DataFrame, site: str = "source", min_sites: int = MIN_SITES, lg_k: int = LG_K) -> DataFrame:
+    """(line_hash) of the lines that stand on at least `min_sites` distinct sites.
+
+    A HyperLogLog sketch of the sites of each line is merged by the aggregation. Beyond three standard errors (and one
+    site) around the threshold the sketch decides; the lines within get an exact count. Lines of any length count. Blank
+    lines are never boilerplate; a null site isn't a site; null texts have no lines, an empty table gives no rows.
+    """
+    return _spread(_hashed(docs, site), min_sites, lg_k)
+
+
+def line_dedup(docs: DataFrame, site: str = "source", min_sites: int = MIN_SITES, lg_k: int = LG_K) -> DataFrame:
+    """(row, removed, kept): each row of `docs` as a struct, how many lines of its text went, and the text that is left.
 
-    docs has doc_id, text and the site's column; what other columns it has stay as they are. Lines are compared trimmed
-    and in lower case. All occurrences of boilerplate go. A text of boilerplate alone has nothing else to protect and
-    stays whole, for whole-document deduplication (without max_chars, its lines of up to MAX_CHARS go if a longer one is left); so do null and empty texts, in which nothing is removed. Rows of the
-    same doc_id, or of a null one, are treated alike, each by its own text. An empty table gives no rows.
+    docs has text and the site's column; whatever other columns it has, of whatever names, stay in row. Lines are compared trimmed
+    and in lower case, and split once, into hashes that are written to the shared folder. All occurrences of boilerplate go, however long they are.
+    A text of boilerplate alone is a copied document rather than a page with boilerplate: to take all its lines would lose it from
+    every site, so it stays whole, for near dedup. Null and empty texts stay as they are. Every row gives one row, by its text alone,
+    whatever its doc_id; equal texts are treated alike. An empty table gives no rows.
     """
-    bad = boilerplate(docs, site, min_sites, max_chars, lg_k)
-    at = docs.select(F.col("doc_id").alias("__id"), F.explode(F.split("text", "\n")).alias("__line")).select("__id", F.xxhash64(_normal(F.col("__line"))).alias("line_hash"))
-    of = at.join(bad, "line_hash", "left_semi").groupBy("__id").agg(F.collect_set("line_hash").alias("__bad"))
-    found = docs.join(of, docs["doc_id"].eqNullSafe(F.col("__id")), "left").drop("__id")
-    lines = F.split(F.col("text"), "\n")
-    bad_line = lambda x: F.array_contains("__bad", F.xxhash64(_normal(x)))
-    text_in = lambda kept: F.exists(kept, lambda x: F.length(_normal(x)) > 0)
-    kept = F.filter(lines, lambda x: ~bad_line(x))
-    if max_chars is None:
-        kept = F.when(text_in(kept), kept).otherwise(F.filter(lines, lambda x: ~bad_line(x) | (F.length(_normal(x)) > MAX_CHARS)))
-    found = found.withColumn("__lines", F.when(F.col("__bad").isNotNull(), kept))
-    some = F.col("__lines").isNotNull() & text_in(F.col("__lines"))
-    return found.select(
-        *[docs[c] for c in docs.columns],
-        F.when(some, F.size(lines) - F.size("__lines")).otherwise(0).alias("__removed"),
-        F.when(some, F.array_join("__lines", "\n")).otherwise(docs["text"]).alias("__kept"),
-    )
-
-
-def without_boilerplate(docs: DataFrame, max_chars: int | None = None, **options) -> DataFrame:
-    """`docs` with the boilerplate lines, however long, taken out of text, and n_chars, if there is one, counted anew."""
-    done = line_dedup(docs, max_chars=max_chars, **options)
-    new = {"text": F.col("__kept"), "n_chars": F.when(F.col("__removed") > 0, F.length("__kept").cast(dict(docs.dtypes).get("n_chars", "long"))).otherwise(F.col("n_chars")) if "n_chars" in docs.columns else None}
-    return done.select(*[new[c].alias(c) if c in new else F.col(c) for c in docs.columns])
+    hashed = settled(_hashed(docs, site))
+    bad = _spread(hashed, min_sites, lg_k)
+    at = hashed.select("t1", "t2", F.explode("lines").alias("line_hash"))
+    of = at.join(bad, "line_hash", "left_semi").groupBy("t1", "t2").agg(F.collect_set("line_hash").alias("bad"))  # as large as the text at most
+    text = docs["text"]
+    found = packed(docs, text=text, t1=F.xxhash64(text), t2=F.xxhash64(text, F.lit(1))).join(of, ["t1", "t2"], "left")
+    lines = F.split("text", "\n")
+    kept = F.filter(lines, lambda x: ~F.array_contains("bad", F.xxhash64(_normal(x))))
+    found = found.select("row", "text", F.when(F.col("bad").isNotNull(), kept).alias("left"))
+    some = F.col("left").isNotNull() & F.exists("left", lambda x: F.length(_normal(x)) > 0)
+    return found.select("row", F.when(some, F.size(lines) - F.size("left")).otherwise(0).alias("removed"), F.when(some, F.array_join("left", "\n")).otherwise(F.col("text")).alias("kept"))
+
+
+def without_boilerplate(docs: DataFrame, **options) -> DataFrame:
+    """`docs` with the boilerplate lines taken out of text, and n_chars, if there is one, counted anew where lines went; see line_dedup()."""
+    done = line_dedup(docs, **options)
+    row = {c: F.col("row")[c] for c in docs.columns}
+    new = {"text": F.col("kept")}
+    if "n_chars" in docs.columns:
+        new["n_chars"] = F.when(F.col("removed") > 0, F.length("kept").cast(dict(docs.dtypes)["n_chars"])).otherwise(row["n_chars"])
+    return done.select(*[new.get(c, row[c]).alias(c) for c in docs.columns])
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = line_dedup(read(spark, sf_dir, "documents").select("doc_id", "text", "source"))
-    return done.where("__removed > 0").select("doc_id", F.col("__removed").cast("long").alias("removed_lines"), F.col("__kept").alias("text"))
+    return done.where("removed > 0").select("row.doc_id", F.col("removed").cast("long").alias("removed_lines"), F.col("kept").alias("text"))
