@@ -8,17 +8,17 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import grams, hashes, over_texts, read, words
+from tessera.llm.common import grams, hashes, over_texts, read, settled, words
 
 #: Words of the shortest passage, and of the grams by which passages meet.
 LENGTH, GRAM = 50, 8
-#: Starts of passages in one segment at most, and words of a shard, whose suffixes are sorted.
-RUN, SHARD = 200, 1_000_000
+#: Starts of passages in one segment at most, words of a shard, whose suffixes are sorted, and words that a task merges at once, or one meeting's.
+RUN, SHARD, MERGED = 200, 1 << 16, 2_000_000
 #: SQL has no suffix order; tested against brute force.
 ORACLE = None
 _MEETING = pa.schema([("meeting", pa.int64()), ("doc_id", pa.int64())])
 _SEGMENT = pa.schema([("meeting", pa.int64()), ("segment", pa.int64()), ("doc_id", pa.int64()), ("start", pa.int64()), ("words", pa.binary())])
-_FOUND = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("end", pa.int64()), ("first_doc", pa.int64())])
+_FOUND = pa.schema([("meeting", pa.int64()), ("segment", pa.int64()), ("lo", pa.int64()), ("hi", pa.int64()), ("first_doc", pa.int64())])
 
 
 def meetings(w: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> np.ndarray:
@@ -64,14 +64,23 @@ def sorted_suffixes(text: np.ndarray, depth: int) -> np.ndarray:
     return order
 
 
+def counted(key: np.ndarray) -> np.ndarray:
+    """The stable order of keys from 0 to 2 ** 32 - 1, by counting: a pass over the lower 16 bits, one over the upper ones if there are any."""
+    order = np.argsort(key.astype(np.uint16), kind="stable")  # a radix sort, as the type has 16 bits
+    if len(key) and key.max() >= 1 << 16:
+        order = order[np.argsort((key[order] >> 16).astype(np.uint16), kind="stable")]
+    return order
+
+
 def merged(shards: list[np.ndarray], depth: int) -> tuple[np.ndarray, np.ndarray]:
     """(positions in the order of their first `depth` words, length of the prefix each shares with the one before, `depth` at most).
 
     A shard is an array of word numbers with a 0 behind each segment; positions count through all shards. Each shard
-    brings its own suffix order, from which its transform's last-to-first mapping follows. At first the shards' rows lie one
-    behind another; each round puts every row where its first word, and then the place of the row behind that word in the round before,
-    belong. After h rounds the rows lie by h words, and a bound between rows that appears in a round gives the common prefix. A
-    row that is alone between its bounds has its place and takes no part any more.
+    brings its own suffix order, of which its transform's first column and last-to-first mapping are kept. The shards' rows are interleaved at first one shard
+    behind another. A round walks the rows in the order of the round before, steps from each to the row of the word in front, and
+    lets it take the next free slot of its block: counting alone, no suffix is compared. After h rounds the rows lie by h words,
+    each shard's among them in its own order, and a bound that appears between two rows gives their common prefix. A row that
+    is alone between its bounds has its slot and takes no part any more.
     """
     text = np.concatenate(shards)
     n, offsets = len(text), np.cumsum([0, *map(len, shards)])[:-1]
@@ -79,37 +88,40 @@ def merged(shards: list[np.ndarray], depth: int) -> tuple[np.ndarray, np.ndarray
     row_of = np.empty(n, np.int64)
     row_of[rows] = np.arange(n)
     word = text[rows].astype(np.int64)
-    # the row of the suffix behind the first word: the inverse of last-to-first; a segment's end has none
-    behind = row_of[np.minimum(rows + 1, n - 1)]
+    front = row_of[rows - 1]  # last to first: the row of the suffix that begins a word before; none in front of a segment
+    front[text[rows - 1] == 0] = -1
     ended = word == 0
-    place = np.argsort(np.where(ended, np.cumsum(ended) - 1, word + n), kind="stable")  # one round: by the first word
+    first = np.where(ended, np.cumsum(ended) - 1, word + int(ended.sum()))  # the ends differ from each other, and come first
+    slot_row = counted(first)  # the row in each slot, after the round of the first word
     at = np.empty(n, np.int64)
-    at[place] = np.arange(n)
-    in_order = word[place]
-    bound = np.concatenate(([True], (in_order[1:] != in_order[:-1]) | (in_order[1:] == 0)))
+    at[slot_row] = np.arange(n)
+    in_order = first[slot_row]
+    bound = np.concatenate(([True], in_order[1:] != in_order[:-1]))
     shared = np.where(bound, 0, depth).astype(np.int32)
-    lone = bound & np.append(bound[1:], True)
-    active = np.flatnonzero(~lone[at])
+    behind = row_of[np.minimum(rows + 1, n - 1)]
+    open_ = np.flatnonzero(~(bound & np.append(bound[1:], True)))  # slots of blocks of several rows
+    marked = np.zeros(n, bool)
     for h in range(1, depth):
-        if not len(active):
+        if not len(open_):
             break
-        block = np.cumsum(bound)
-        slots = np.sort(at[active])
-        key = block[at[active]] << 32 | at[behind[active]]
-        order = np.argsort(key, kind="stable")  # merges the shards' ordered runs
-        before = block[at[behind[active]]][order]
-        own = block[slots]
-        new = np.concatenate(([True], (own[1:] != own[:-1]) | (before[1:] != before[:-1])))
-        at[active[order]] = slots
-        active = active[order]
-        fresh = slots[new & ~bound[slots]]
+        block = np.cumsum(bound, dtype=np.int32)
+        marked[:] = False
+        marked[at[behind[slot_row[open_]]]] = True
+        source = np.flatnonzero(marked)
+        walk = front[slot_row[source]]
+        own = block[at[walk]]
+        number = np.cumsum(np.concatenate(([0], np.diff(block[open_]) > 0)))  # of the open blocks, in order
+        small = np.zeros(int(block[-1]) + 1, np.int64)
+        small[block[open_]] = number
+        order = counted(small[own])
+        walk, own, before = walk[order], own[order], block[source[order]]
+        fresh = open_[np.concatenate(([True], (own[1:] != own[:-1]) | (before[1:] != before[:-1])))]
+        fresh = fresh[~bound[fresh]]
+        slot_row[open_], at[walk] = walk, open_
         bound[fresh] = True
         shared[fresh] = h
-        lone = bound[slots] & np.append(bound, True)[slots + 1]
-        active = active[~lone]
-    positions = np.empty(n, np.int64)
-    positions[at] = rows
-    return positions, shared
+        open_ = open_[~(bound[open_] & np.append(bound, True)[open_ + 1])]
+    return rows[slot_row], shared
 
 
 def repeats(segments: list[np.ndarray], docs_lo: np.ndarray, docs_hi: np.ndarray, length: int, shard: int = SHARD) -> list[list[tuple[int, int, int]]]:
@@ -191,41 +203,39 @@ def _cut(length: int, gram: int):
     return run
 
 
-def _merge(length: int, shard: int):
+def _merge(length: int, shard: int, most: int = MERGED):
+    """Stretches of distinct segments; the rows come meeting by meeting, and are merged so many words at once that make up `most`."""
+
+    def found(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
+        t = pa.Table.from_batches(parts).combine_chunks()
+        raw = t["words"].combine_chunks()
+        segments = [np.frombuffer(x.as_buffer(), np.uint32) for x in raw]
+        stretches = repeats(segments, t["least"].to_numpy(), t["most"].to_numpy(), length, shard)
+        many = np.array([len(f) for f in stretches])
+        flat = np.array([x for f in stretches for x in f], np.int64).reshape(-1, 3)
+        which = np.repeat(np.arange(len(many)), many)
+        return pa.RecordBatch.from_arrays([pa.array(t["meeting"].to_numpy()[which]), pa.array(t["segment"].to_numpy()[which]), *[pa.array(flat[:, k].copy()) for k in range(3)]], schema=_FOUND)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number: dict[tuple[int, int], int] = {}
-        segments: list[np.ndarray | None] = []
-        which, docs, starts = [], [], []
+        parts, size, last = [], 0, None
         for batch in batches:
-            meeting, name, raw = batch.column("meeting").to_pylist(), batch.column("segment").to_pylist(), batch.column("words")
-            some = raw.is_valid().to_pylist()
-            mine = np.empty(batch.num_rows, np.int64)
-            for at, key in enumerate(zip(meeting, name)):
-                if (k := number.get(key)) is None:
-                    k = number[key] = len(segments)
-                    segments.append(None)
-                if some[at] and segments[k] is None:
-                    segments[k] = np.frombuffer(raw[at].as_py(), np.uint32)
-                mine[at] = k
-            which.append(mine)
-            docs.append(batch.column("doc_id").to_numpy())
-            starts.append(batch.column("start").to_numpy())
-        if not segments:
-            return
-        w, d, s = np.concatenate(which), np.concatenate(docs), np.concatenate(starts)
-        order = np.argsort(w, kind="stable")
-        w, d, s = w[order], d[order], s[order]
-        at = np.flatnonzero(np.concatenate(([True], w[1:] != w[:-1])))
-        found = repeats(segments, np.minimum.reduceat(d, at), np.maximum.reduceat(d, at), length, shard)
-        many = np.array([len(f) for f in found])
-        flat = np.array([x for f in found for x in f], np.int64).reshape(-1, 3)
-        begin = np.cumsum(many) - many
-        for a in range(0, len(w), 100_000):
-            k = w[a : a + 100_000]
-            take = np.repeat(begin[k] - (np.cumsum(many[k]) - many[k]), many[k]) + np.arange(many[k].sum())
-            start = np.repeat(s[a : a + 100_000], many[k])
-            if len(take):
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (np.repeat(d[a : a + 100_000], many[k]), start + flat[take, 0], start + flat[take, 1], flat[take, 2])], schema=_FOUND)
+            if not batch.num_rows:
+                continue
+            meeting = batch.column("meeting").to_numpy()
+            words_ = np.diff(np.concatenate(([0], np.cumsum([len(x.as_buffer()) // 4 for x in batch.column("words")]))))
+            cuts = [0, *(np.flatnonzero(meeting[1:] != meeting[:-1]) + 1).tolist(), len(meeting)]
+            begin = 0
+            for a, b in zip(cuts, cuts[1:]):
+                if size >= most and meeting[a] != last:
+                    if begin < a:
+                        parts.append(batch.slice(begin, a - begin))
+                    yield found(parts)
+                    parts, size, begin = [], 0, a
+                size += int(words_[a:b].sum())
+                last = meeting[a]
+            parts.append(batch.slice(begin))
+        if parts:
+            yield found(parts)
 
     return run
 
@@ -235,17 +245,23 @@ def repeated_passages(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, s
 
     docs has doc_id and text; other columns are ignored. Words are compared in lower case, without what stands between
     them. first_doc is the least document with any of the passages in the stretch. Equal passages have the same least gram hash, their
-    meeting; the stretches of meetings that only one document has are left out by an aggregation, the others are sent to their
-    meeting's task, in which the shards' transforms are merged (see merged()). Any passage is in the task of its meeting
+    meeting; the stretches of meetings that only one document has are left out by an aggregation, the others are cut out as segments. Equal
+    segments are aggregated to one with its least and greatest document before they are sent to their meeting's task, in which the
+    shards' transforms are merged (see merged()); what that finds is joined back to all documents of the segment, so that no task holds the
+    documents of a passage, however many have it. Any passage is in the task of its meeting
     whole, so the result is exact but for equal hashes of different words (64 bits a gram, then 32 bits a word). Repeats within one document don't count.
-    Null texts and doc_ids, and texts below `length` words, have no repeats; rows of the same doc_id are one document. An empty table gives no rows.
+    Null texts and doc_ids, and texts below `length` words, have no repeats; very long texts are cut whole; rows of the same doc_id are one document, so that equal ones are no
+    repeats of each other, and one stretch of the same document in several rows is given once. An empty table gives no rows.
     """
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null and text is not null")
     met = texts.mapInArrow(_meet(length, gram), "meeting long, doc_id long").repartition("meeting")
     common = met.groupBy("meeting").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("meeting")
     of = met.join(common, "meeting").groupBy("doc_id").agg(F.collect_set("meeting").alias("meetings"))
-    cut = texts.join(of, "doc_id").select("doc_id", "text", "meetings").mapInArrow(_cut(length, gram), "meeting long, segment long, doc_id long, start long, words binary")
-    found = cut.repartition("meeting").mapInArrow(_merge(length, shard), "doc_id long, start long, end long, first_doc long")
+    cut = settled(texts.join(of, "doc_id").select("doc_id", "text", "meetings").mapInArrow(_cut(length, gram), "meeting long, segment long, doc_id long, start long, words binary"))
+    segments = cut.groupBy("meeting", "segment").agg(F.min("doc_id").alias("least"), F.max("doc_id").alias("most"), F.max("words").alias("words"))
+    found = segments.repartition("meeting").sortWithinPartitions("meeting").mapInArrow(_merge(length, shard), "meeting long, segment long, lo long, hi long, first_doc long")
+    placed = cut.select("meeting", "segment", "doc_id", "start").join(found, ["meeting", "segment"])
+    found = placed.select("doc_id", (F.col("start") + F.col("lo")).alias("start"), (F.col("start") + F.col("hi")).alias("end"), "first_doc")
     by_doc = Window.partitionBy("doc_id").orderBy("start", "end")
     new = found.withColumn("reach", F.max("end").over(by_doc.rowsBetween(Window.unboundedPreceding, -1)))
     stretch = new.withColumn("stretch", F.sum(F.when(F.col("start") > F.coalesce("reach", F.lit(-1)), 1).otherwise(0)).over(by_doc.rowsBetween(Window.unboundedPreceding, 0)))
