@@ -56,9 +56,29 @@ def test_against_brute_force_both_ways(spark):
 def test_filter_and_nothing(spark):
     texts, items = made()
     test = spark.createDataFrame(items, "item_id long, text string")
-    given = docs(spark, texts)
-    kept = dec.clean(given, test)
+    given = docs(spark, [(1000 + k, t) for k, (_, t) in enumerate(texts)])  # an id a row
     leaks = {r[0] for r in dec.contaminated(given, test).select("doc_id").collect()}
-    assert kept.columns == given.columns and kept.count() == given.where(~given.doc_id.isin(*leaks) | given.doc_id.isNull()).count()
+    for seeds in (dec.BROADCAST_SEEDS, 0):
+        kept = dec.clean(given, test, broadcast_seeds=seeds)
+        assert kept.columns == given.columns
+        left = [(r["doc_id"], r["text"]) for r in given.collect() if r["doc_id"] not in leaks]
+        assert len(leaks) > 12 and rows(kept.select("doc_id", "text")) == sorted(left, key=lambda r: tuple((x is not None, x) for x in r))
     assert rows(dec.contaminated(docs(spark, []), test)) == [] and rows(dec.contaminated(given, test.where("false"))) == []
     assert rows(dec.contaminated(given, test.where("false"), broadcast_seeds=-1)) == []
+    assert dec.clean(given, test.where("false")).count() == given.count() and rows(dec.clean(docs(spark, []), test)) == []
+
+
+def test_ties_repeated_rows_and_clashing_names(spark):
+    item = " ".join(f"q{k}" for k in range(30))
+    twice = f"{item} and between them {item}"
+    part = " ".join(f"q{k}" for k in range(20)) + " and others"
+    given = docs(spark, [(1, twice), (1, part), (1, "nothing of it"), (2, part), (2, part), (3, "nothing")])
+    test = spark.createDataFrame([(5, item), (5, "an item of another test set under the same number, long enough for a seed of its own"), (6, item)], "item_id long, text string")
+    want = [(1, i, 0, 0, 30, 30, 30) for i in (5, 6)] + [(2, i, 0, 0, 20, 20, 30) for i in (5, 6)]  # the first of equal ones
+    for seeds in (dec.BROADCAST_SEEDS, 0):
+        assert rows(dec.contaminated(given, test, broadcast_seeds=seeds)) == want
+        names = given.withColumnsRenamed({"key": "__leak", "a": "row", "b": "t1", "start": "seed"})
+        kept = dec.clean(names, test, broadcast_seeds=seeds)
+        assert kept.columns == names.columns and rows(kept.select("doc_id", "text")) == [(1, "nothing of it"), (3, "nothing")]
+        other = docs(spark, [(4, "here an item of another test set under the same number, long enough for a seed of its own")])
+        assert [r["item_id"] for r in dec.contaminated(other, test, broadcast_seeds=seeds).collect()] == [5]

@@ -67,6 +67,10 @@ def test_keep_one(spark):
     kept = minhash.keep_one(given)
     assert kept.columns == given.columns
     assert sorted(i for (i,) in kept.select("doc_id").collect() if i is not None) == [1, 2, 5, 6, 7, 8, 9] and kept.where("doc_id is null").count() == 2
+    clash = given.withColumnsRenamed({"key": "__gone", "a": "row", "b": "id", "start": "rank", "content": "tie"})
+    assert rows(minhash.keep_one(clash).select("doc_id")) == rows(kept.select("doc_id")) and minhash.keep_one(clash).columns == clash.columns
+    twice = docs(spark, [(1, "b text of its own"), (1, "a text of its own here"), (1, None), (2, "z"), (2, "y"), (2, "y")])
+    assert rows(minhash.keep_one(twice).select("doc_id", "text")) == [(1, None), (2, "y")]
     assert rows(minhash.near_duplicates(docs(spark, []))) == [] and rows(minhash.keep_one(docs(spark, []))) == []
 
 
