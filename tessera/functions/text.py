@@ -80,6 +80,11 @@ def checkpoint_step(c: Column) -> Column:
     return F.try_to_number(F.nullif(F.regexp_extract(c, r"checkpoint-(\d+)$", 1), F.lit("")), F.lit("9999999999")).cast("long")
 
 
+def checkpoint_order(c: Column) -> list[Column]:
+    """Orders checkpoints: names without a step, as that of the final one, first, then by step."""
+    return [checkpoint_step(c).asc_nulls_first(), c.asc()]
+
+
 def valid_content(c: Column) -> Column:
     """More than ten tokens, and no description of a picture."""
     return ~F.startswith(c, F.lit("The image")) & (F.size(tokens(c)) > 10)

@@ -3,7 +3,7 @@
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.functions.text import clean_word, leading_symbols, ngrams, tokens, trailing_symbols, words
+from tessera.functions.text import clean_word, is_blank, leading_symbols, ngrams, tokens, trailing_symbols, words
 from tessera.sources.folders import bounded
 
 
@@ -109,6 +109,26 @@ def matched(pairs: DataFrame, lexicon: DataFrame, known: DataFrame | None = None
     return out.select("pair_id", "total_words", "matched_words", F.round(pct, 6).alias("match_pct"))
 
 
+def match_metrics(pairs: DataFrame, lexicon: DataFrame, known: DataFrame | None = None) -> DataFrame:
+    """matched() as five columns: percentages and counts of the words that match and that don't, and their number; all 0 if a side is blank."""
+    blank = F.coalesce(is_blank(F.col("src")), F.lit(True)) | F.coalesce(is_blank(F.col("ref")), F.lit(True))
+    some = matched(pairs.where(~blank), lexicon, known)
+    n, m = F.coalesce("total_words", F.lit(0)).cast("long"), F.coalesce("matched_words", F.lit(0)).cast("long")
+    pct = lambda x: F.round(F.when(n > 0, x * 100.0 / n).otherwise(0.0), 6)
+    return pairs.select("pair_id").join(some, "pair_id", "left").select(
+        "pair_id", pct(m).alias("bt_valid_match_percentage"), pct(n - m).alias("bt_invalid_match_percentage"), m.alias("bt_valid_match_count"),
+        (n - m).alias("bt_invalid_match_count"), n.alias("bt_total_src_words"),
+    )
+
+
+def pair_metrics(pairs: DataFrame, lexicon: DataFrame, vocabulary: DataFrame, threshold: float = 25, known: DataFrame | None = None) -> DataFrame:
+    """The metrics of annotated pairs in one table: match_metrics(), the share of source words in `vocabulary` (word), and whether that reaches the threshold."""
+    each = pairs.select("pair_id", F.explode_outer(words(F.col("src"))).alias("word"))
+    met = each.join(bounded(vocabulary.select("word").distinct().withColumn("there", F.lit(True))), "word", "left")
+    share = met.groupBy("pair_id").agg(F.round(F.coalesce(F.count_if("there") * 100.0 / F.nullif(F.count("word"), F.lit(0)), F.lit(0.0)), 6).alias("valid_pct"))
+    return match_metrics(pairs, lexicon, known).join(share, "pair_id").withColumn("reaches", F.col("valid_pct") >= threshold)
+
+
 def back_translated(pairs: DataFrame, lexicon: DataFrame) -> DataFrame:
     """(pair_id, back): each source word replaced by the translation that stands nearest to its place in the reference.
 

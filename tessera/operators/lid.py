@@ -69,3 +69,8 @@ def most_lines(text: Column, wanted: Iterable[str]) -> Column:
     # each line is cut once, before it is scored for every language
     good = F.filter(F.transform(full, words), lambda ws: F.array_max(scored(ws))["lang"].isin(*wanted))
     return F.coalesce((F.size(full) > 0) & (F.size(good) * 2 > F.size(full)), F.lit(False))
+
+
+def either_in_both(one: Column, first: Iterable[str], other: Column, second: Iterable[str]) -> Column:
+    """One of the first two lines of each of two texts is in its wanted language."""
+    return either_line(one, first) & either_line(other, second)

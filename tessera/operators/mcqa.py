@@ -6,17 +6,32 @@ from pyspark.sql import functions as F
 from tessera.functions.text import strip
 
 #: What stands before and behind a question, by language.
-PRESETS = {"bali": ("Jawablah pertanyaan bahasa Bali ini.", "Jawaban: "), "cirebon": ("Jawablah pertanyaan bahasa Cirebon ini.", "Jawaban: ")}
+PRESETS = {"bali": ("Pilih pasaut ane pinih beneh!", "Pasaut: "), "cirebon": ("Pilih jawaban sing paling bener!", "Jawaban: ")}
+#: A string of a printed Python list: in single or double quotes, with what is escaped in it.
+_ITEM = r"""'((?:[^'\\]|\\.)*)'|"((?:[^"\\]|\\.)*)\""""
 
 
 def parsed_options(options: Column) -> Column:
-    """struct<label, text> of a Python list of strings such as "A. one": the parts before and behind the first dot."""
-    quoted = F.regexp_replace(F.regexp_replace(F.regexp_replace(options, '(["\\\\])', r"\\$1"), r"^\s*\[\s*'|'\s*\]\s*$", '"'), r"'\s*,\s*'", '","')
-    items = F.from_json(F.concat(F.lit("["), quoted, F.lit("]")), "array<string>")
+    """struct<label, text> of a printed Python list of strings such as "A. one": the parts before and behind the first dot, labels in lower case.
+
+    Strings are in single quotes, or in double ones where they hold an apostrophe; commas, quotes and backslashes within them are theirs.
+    """
+    raw = F.transform(F.regexp_extract_all(options, F.lit(_ITEM), F.lit(0)), lambda x: F.substr(x, F.lit(2), F.length(x) - 2))
+    items = F.transform(raw, lambda x: F.regexp_replace(x, r"\\(.)", "$1"))
     parts = F.transform(items, lambda x: F.split(x, r"\.", 2))
     return F.struct(F.transform(parts, lambda p: F.lower(strip(p[0]))).alias("label"), F.transform(parts, lambda p: strip(F.coalesce(F.get(p, 1), F.lit("")))).alias("text"))
 
 
+def question(question: Column, options: Column, answer: Column, grade: Column, key: Column) -> Column:
+    """struct<context, question, choices, answer, category, grade, question_id> of a row with printed options; the id is made of `key`, the same on every run."""
+    name = F.md5(key)
+    uid = F.concat_ws("-", *[F.substring(name, a, n) for a, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))])
+    return F.struct(
+        F.lit("").alias("context"), question.alias("question"), parsed_options(options).alias("choices"), F.lower(answer).alias("answer"), F.array().cast("array<string>").alias("category"),
+        grade.cast("int").alias("grade"), uid.alias("question_id"),
+    )
+
+
 def problem(choices: Column, answer: Column) -> Column:
     """Why a question can't be used, the first reason that holds; null if it can."""
     labels, texts = choices["label"], choices["text"]
@@ -64,3 +79,9 @@ def exportable(choices: Column, answer: Column) -> Column:
     """Whether a question has as many labels as texts, some of each, and its answer among the labels."""
     labels, texts = choices["label"], choices["text"]
     return F.coalesce((F.size(labels) > 0) & (F.size(labels) == F.size(texts)) & F.array_contains(labels, answer), F.lit(False))
+
+
+def exported(rows: DataFrame, question: str = "question") -> tuple[DataFrame, DataFrame]:
+    """(records that are whole, without overlap_ratio; one row (saved, dropped)) of rows with question, choices and answer."""
+    good = F.col(question).isNotNull() & F.coalesce(exportable(F.col("choices"), F.col("answer")), F.lit(False))
+    return rows.where(good).drop("overlap_ratio"), rows.agg(F.count_if(good).alias("saved"), F.count_if(~good).alias("dropped"))

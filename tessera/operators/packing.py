@@ -81,6 +81,12 @@ def steps(rows: int, batch: int, accumulate: int, epochs: float, eval_steps: int
     return total, max(1, math.ceil(total / max(1, saves) / eval_steps)) * eval_steps
 
 
+def step_columns(rows: Column, batch: int, accumulate: int, epochs: float, eval_steps: int, saves: int) -> tuple[Column, Column]:
+    """steps() of a column of row counts."""
+    total = F.greatest(F.lit(1), F.ceil(F.ceil(rows / (batch * accumulate)) * epochs)).cast("long")
+    return total, (F.greatest(F.lit(1), F.ceil(total / max(1, saves) / eval_steps)) * eval_steps).cast("long")
+
+
 def tokenised(docs: DataFrame, path: str = VOCABULARY) -> DataFrame:
     """(doc_id, n_tokens, token_ids): byte-pair tokens of each text by a vocabulary of base64 tokens and ids; null for a null text."""
 

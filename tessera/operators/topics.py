@@ -1,6 +1,6 @@
 """Trees of topics, subtopics and questions: expansion, flattening, and what is still to do."""
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.text import strip
@@ -43,6 +43,8 @@ def ranked(records: DataFrame, seeds: DataFrame) -> DataFrame:
 
 
 def failures(rows: DataFrame, by: str, message: str) -> DataFrame:
-    """(by, n_failed, first): how many messages each group has, and the first three of them by order."""
-    found = rows.where(F.col(message).isNotNull()).groupBy(by).agg(F.count("*").alias("n_failed"), F.slice(F.array_sort(F.collect_list(message)), 1, 3).alias("first"))
-    return found
+    """(by, n_failed, first): how many messages each group has, and the first three of them by order. No group is collected but for these."""
+    found = rows.where(F.col(message).isNotNull()).select(F.col(by), F.col(message).alias("said"))
+    top = found.withColumn("place", F.row_number().over(Window.partitionBy(by).orderBy("said"))).where("place <= 3")
+    first = top.groupBy(by).agg(F.array_sort(F.collect_list("said")).alias("first"))
+    return found.groupBy(by).agg(F.count("*").alias("n_failed")).join(first, by)

@@ -1,6 +1,5 @@
 """Tables from files. Bad inputs are skipped or raise, as each reader says."""
 
-import os
 from collections.abc import Iterable
 
 from pyspark.errors import AnalysisException
@@ -68,17 +67,23 @@ def read_json(spark: SparkSession, path: str, schema: str | None = None) -> Data
 
 
 def read_jsonl(spark: SparkSession, path: str, schema: str, strict: bool = True) -> DataFrame:
-    """One record a line, blank lines aside. A bad line raises with its file, or is skipped if not strict."""
+    """One record a line, blank lines aside. A bad line raises with its file (bad_lines() gives its number), or is skipped if not strict."""
     raw = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file")).where(~is_blank(F.col("value")))
     parsed = raw.withColumn("ok", F.try_parse_json("value").isNotNull())
     if strict:
-        fail = F.raise_error(F.concat(F.lit("bad JSON in "), F.col("file"), F.lit(": "), F.substr("value", F.lit(1), F.lit(200))))
+        fail = F.raise_error(F.concat(F.lit("bad JSON in "), F.col("file"), F.lit(", see bad_lines(): "), F.substr("value", F.lit(1), F.lit(200))))
         parsed = parsed.withColumn("value", F.when(F.col("ok"), F.col("value")).otherwise(fail))
     else:
         parsed = parsed.where("ok")
     return parsed.select(F.from_json("value", schema).alias("r")).select("r.*")
 
 
+def bad_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(file, line, value) of the lines that are no JSON, counted from 1. A file is read by one task, so this is for finding what read_jsonl() raised."""
+    whole = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.posexplode(F.split("value", "\n")).alias("pos", "value"))
+    return whole.where(~is_blank(F.col("value")) & F.try_parse_json("value").isNull()).select("file", (F.col("pos") + 1).cast("long").alias("line"), "value")
+
+
 def read_ids(spark: SparkSession, path: str, field: str = "custom_id") -> DataFrame:
     """The string ids in a JSONL file; bad lines and other ids are skipped."""
     raw = spark.read.text(path).select(F.try_parse_json("value").alias("v"))
@@ -117,13 +122,30 @@ def read_lexicon(spark: SparkSession, path: str) -> DataFrame:
     return pairs.withColumn("translations", values).groupBy("word").agg(F.max_by("translations", "pos").alias("translations"))
 
 
-def shards(folder: str, prefix: str, suffix: str = ".jsonl") -> list[str]:
-    """The files of a folder with the prefix and suffix, by name."""
-    return sorted(os.path.join(folder, f) for f in os.listdir(folder) if f.startswith(prefix) and f.endswith(suffix))
+def read_lexicon_words(spark: SparkSession, path: str) -> DataFrame:
+    """(word): the keys of a JSON object in lower case; a file that is missing or no object gives none."""
+    none = spark.createDataFrame([], "word string")
+    try:
+        raw = spark.read.text(path, wholetext=True).select(F.try_parse_json("value").alias("v")).where(F.startswith(F.schema_of_variant("v"), F.lit("OBJECT")))
+    except AnalysisException:
+        return none
+    return raw.lateralJoin(spark.tvf.variant_explode(F.col("v").outer())).where("key is not null").select(F.lower("key").alias("word")).distinct()
+
+
+def shards(spark: SparkSession, folder: str, prefix: str, suffix: str = ".jsonl") -> list[str]:
+    """The files of a folder, on whatever file system, with the prefix and suffix, by name."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    found = path.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(path)
+    names = [f.getPath().getName() for f in found]
+    return [f"{folder.rstrip('/')}/{n}" for n in sorted(names) if n.startswith(prefix) and n.endswith(suffix)]
 
 
 def resolve(entries: DataFrame, files: DataFrame) -> DataFrame:
-    """(entry, path): for each entry the file of that very name, else the first whose name starts with it."""
-    met = entries.join(files, F.startswith(F.regexp_extract("path", r"([^/]*)$", 1), F.col("entry")))
-    exact = F.regexp_extract("path", r"([^/]*)$", 1) == F.col("entry")
-    return met.groupBy("entry").agg(F.min(F.struct((~exact).alias("o"), "path")).alias("m")).select("entry", "m.path")
+    """(entry, path): for each entry the file of that very name, else the first by path whose name starts with it.
+
+    Files stand under each beginning of their names, so that both kinds meet by equality.
+    """
+    name = F.regexp_extract("path", r"([^/]*)$", 1)
+    begun = files.select("path", name.alias("name")).select("path", "name", F.explode(F.transform(F.sequence(F.lit(1), F.length("name")), lambda n: F.substr("name", F.lit(1), n))).alias("entry"))
+    met = entries.join(begun, "entry")
+    return met.groupBy("entry").agg(F.min(F.struct((F.col("name") != F.col("entry")).alias("o"), "path")).alias("m")).select("entry", "m.path")

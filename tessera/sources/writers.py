@@ -65,6 +65,15 @@ def save_shards(df: DataFrame, path: str, size: int, *order) -> None:
     out.select("shard", F.to_json(F.struct(*df.columns)).alias("value")).write.mode("overwrite").partitionBy("shard").text(path)
 
 
-def save_document(df: DataFrame, path: str, order) -> None:
-    """One small JSON file of the records in order."""
-    df.orderBy(order).coalesce(1).write.mode("overwrite").json(path)
+def save_document(df: DataFrame, path: str, *order) -> None:
+    """One small JSON file: a list of the records in order, indented, null fields left out."""
+    by = [F.col(c) if isinstance(c, str) else c for c in order]
+    placed = df.select(F.struct(*df.columns).alias("record"), F.row_number().over(Window.orderBy(*by)).alias("rn"))  # small, as its reader holds it whole
+    listed = placed.agg(F.transform(F.array_sort(F.collect_list(F.struct("rn", "record"))), lambda x: x["record"]).alias("all"))
+    listed.select(F.to_json("all", {"pretty": "true"}).alias("value")).coalesce(1).write.mode("overwrite").text(path)
+
+
+def save_run(details: DataFrame, summary: DataFrame, path: str) -> None:
+    """The results of one run: `details.jsonl`, a record a line, and `summary.json`, one record."""
+    save_jsonl(details, f"{path}/details.jsonl")
+    summary.select(F.to_json(F.struct("*"), {"pretty": "true"}).alias("value")).coalesce(1).write.mode("overwrite").text(f"{path}/summary.json")

@@ -26,5 +26,6 @@ def differs(spark, con, run, sql, folder):
     result = con.sql(sql)
     theirs = table(list(result.columns), result.fetchall())
     if mine != theirs:
-        return mine[0], theirs[0], len(mine[1]), len(theirs[1]), [x for x in mine[1] if x not in theirs[1]][:2], [x for x in theirs[1] if x not in mine[1]][:2]
+        a, b = set(mine[1]), set(theirs[1])
+        return mine[0], theirs[0], len(mine[1]), len(theirs[1]), sorted(a - b)[:2], sorted(b - a)[:2]
     return None

@@ -14,7 +14,7 @@ def test_jsonl(spark, tmp_path):
     assert readers.read_jsonl(spark, str(tmp_path), "custom_id string", strict=False).count() == 3
     with pytest.raises(Exception, match="b.jsonl"):
         readers.read_jsonl(spark, str(tmp_path), "custom_id string").collect()
-    assert [p[-7:] for p in readers.shards(str(tmp_path), "", ".jsonl")] == ["a.jsonl", "b.jsonl"]
+    assert [p[-7:] for p in readers.shards(spark, str(tmp_path), "", ".jsonl")] == ["a.jsonl", "b.jsonl"]
 
 
 def test_lexicon(spark, tmp_path):
@@ -68,7 +68,22 @@ def test_guards(spark, tmp_path):
     writers.save_jsonl(spark.range(2), str(tmp_path / "j"), append=True)
     assert readers.read_jsonl(spark, str(tmp_path / "j"), "id long").count() == 4
     writers.save_document(spark.range(3), str(tmp_path / "doc"), F.desc("id"))
-    assert readers.read_json(spark, str(tmp_path / "doc"), "id long").count() >= 1
+    assert [r["id"] for r in readers.read_json(spark, str(tmp_path / "doc"), "id long").collect()] == [2, 1, 0]
+    (part,) = (tmp_path / "doc").glob("part-*")
+    assert json.loads(part.read_text()) == [{"id": 2}, {"id": 1}, {"id": 0}]
+
+
+def test_bad_lines_have_numbers(spark, tmp_path):
+    (tmp_path / "b.jsonl").write_text('{"a": 1}\n\nbroken\n{"a": 2}\n{')
+    assert [(r["line"], r["value"]) for r in readers.bad_lines(spark, str(tmp_path / "b.jsonl")).orderBy("line").collect()] == [(3, "broken"), (5, "{")]
+
+
+def test_lexicon_words_of_bad_files(spark, tmp_path):
+    (tmp_path / "list.json").write_text("[1, 2]")
+    (tmp_path / "broken.json").write_text('{"a": ')
+    (tmp_path / "good.json").write_text('{"Bok": [], "tiang": 5}')
+    of = lambda name: {r[0] for r in readers.read_lexicon_words(spark, str(tmp_path / name)).collect()}
+    assert of("good.json") == {"bok", "tiang"} and not of("list.json") and not of("broken.json") and not of("missing.json")
 
 
 def test_resumed_stream(spark, tmp_path):
