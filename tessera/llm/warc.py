@@ -1,6 +1,7 @@
 """WARC: records cut into segments are put together again, checked, and freed of chunked transfer framing."""
 
 import re
+import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -11,9 +12,21 @@ from tessera.llm.common import read
 
 #: Bytes of a chunk and of a segment's block in the records that are made of a page table.
 CHUNK, SEGMENT = 1000, 4096
-ORACLE = """
-SELECT page_id, url AS target_uri, 'complete' AS status, octet_length(encode(html)) AS body_bytes, md5(html) AS body_md5
-FROM pages WHERE page_id IS NOT NULL AND html IS NOT NULL
+HEADER = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nTransfer-Encoding: chunked\r\n\r\n"
+#: Of every DAMAGED pages, in the records that the query makes: one loses its second segment, one has two first ones that differ, one tells a wrong total length, one has no last chunk.
+DAMAGED = 11
+ORACLE = f"""
+WITH sized AS (
+  SELECT page_id, url, html, page_id % {DAMAGED} AS kind, octet_length(encode(html)) AS n FROM pages WHERE page_id IS NOT NULL AND html IS NOT NULL
+), framed AS (
+  SELECT *, {len(HEADER)} + n + n // {CHUNK} * {len(f"{CHUNK:x}") + 4} + CASE WHEN n % {CHUNK} = 0 THEN 0 ELSE length(to_hex(n % {CHUNK})) + 4 END + CASE WHEN kind = 3 THEN 0 ELSE 5 END AS block FROM sized
+), cut AS (
+  SELECT *, (block + {SEGMENT - 1}) // {SEGMENT} AS segments FROM framed
+), said AS (
+  SELECT *, CASE WHEN kind = 0 AND segments > 2 THEN 'missing_segment' WHEN kind = 0 AND segments = 2 THEN 'bad_chunks' WHEN kind = 1 THEN 'conflict'
+    WHEN kind = 2 AND segments > 1 THEN 'wrong_length' WHEN kind = 3 THEN 'bad_chunks' ELSE 'complete' END AS status FROM cut
+)
+SELECT page_id, url AS target_uri, status, CASE WHEN status = 'complete' THEN n END AS body_bytes, CASE WHEN status = 'complete' THEN md5(html) END AS body_md5 FROM said
 """
 RECORD = "record_id string, type string, target_uri string, segment_number long, segment_origin_id string, segment_total_length long, block binary"
 _RECORD = pa.schema([("record_id", pa.string()), ("type", pa.string()), ("target_uri", pa.string()), ("segment_number", pa.int64()), ("segment_origin_id", pa.string()), ("segment_total_length", pa.int64()), ("block", pa.binary())])
@@ -21,10 +34,32 @@ _WHOLE = pa.schema([("record_id", pa.string()), ("target_uri", pa.string()), ("s
 _CHUNK = re.compile(rb"[ \t]*([0-9A-Fa-f]+)[ \t]*(?:;[^\r\n]*)?\r?\n")
 
 
+_START = re.compile(rb"(?:(?<=\n)|\A)WARC/\d")
+
+
+def unzipped(data: bytes) -> bytes:
+    """The content of the gzip members of a file, one behind another; a member that is damaged gives what can be read of it. Other data stays as it is."""
+    if data[:2] != b"\x1f\x8b":
+        return data
+    parts, at = [], 0
+    while (at := data.find(b"\x1f\x8b\x08", at)) >= 0:
+        member, here = zlib.decompressobj(31), at
+        try:
+            while not member.eof and here < len(data):  # in pieces, so that what is behind the member isn't copied
+                piece = data[here : here + 65_536]
+                parts.append(member.decompress(piece))
+                here += len(piece) - len(member.unused_data)
+            at = max(here, at + 3)
+        except zlib.error:
+            at += 3
+    return b"".join(parts)
+
+
 def parse(data: bytes) -> list[dict]:
-    """The records of an uncompressed WARC file. What follows a broken header or a block cut short is left out."""
+    """The records of a WARC file's content. A record with a broken header, or a block cut short by the end or by a wrong length, is left out; those behind it are found again where a line begins a record."""
     out, at = [], 0
-    while (at := data.find(b"WARC/", at)) >= 0:
+    while m := _START.search(data, at):
+        at = m.start()
         ends = [(e, len(mark)) for mark in (b"\r\n\r\n", b"\n\n") if (e := data.find(mark, at)) >= 0]
         if not ends:
             break
@@ -35,16 +70,18 @@ def parse(data: bytes) -> list[dict]:
             if colon:
                 head[name.strip().lower()] = value.strip()
         size = head.get("content-length", "")
-        if not size.isdigit() or end + gap + int(size) > len(data):
-            break
+        over = end + gap + int(size) if size.isascii() and size.isdigit() else -1
+        if over < 0 or over > len(data) or data[over : over + 2] not in (b"\r\n", b"\n\n", b""):
+            at += 5  # damaged: on to the next line that begins a record
+            continue
 
         def number(name: str, head: dict = head) -> int | None:
             return int(head[name]) if head.get(name, "").isdigit() else None
 
-        at = end + gap + int(size)
+        at = over
         out.append({
             "record_id": head.get("warc-record-id"), "type": head.get("warc-type"), "target_uri": head.get("warc-target-uri"), "segment_number": number("warc-segment-number"),
-            "segment_origin_id": head.get("warc-segment-origin-id"), "segment_total_length": number("warc-segment-total-length"), "block": data[end + gap : at],
+            "segment_origin_id": head.get("warc-segment-origin-id"), "segment_total_length": number("warc-segment-total-length"), "block": data[end + gap : over],
         })
     return out
 
@@ -57,12 +94,16 @@ def render(record: dict) -> bytes:
 
 
 def read_warc(spark: SparkSession, path: str) -> DataFrame:
-    """The records of uncompressed WARC files as rows (RECORD). A file is read by one task."""
+    """The records of WARC files as rows (RECORD), plain or of gzip members.
+
+    A file is read by one task, as a value of 2 GB at most, so larger ones must be cut before. Records that are damaged are left out, those behind them are found again (see
+    parse()); equal records stay as often as they stand there; empty files, and an empty folder's none, give no rows. Headers that a record lacks are null.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for content in batch.column("content"):
-                found = parse(content.as_py())
+                found = parse(unzipped(content.as_py()))
                 for a in range(0, len(found), 1000):
                     yield pa.RecordBatch.from_pylist(found[a : a + 1000], schema=_RECORD)
 
@@ -95,10 +136,10 @@ def unchunked(framed: bytes) -> bytes | None:
     return None
 
 
-def records_of(pages: DataFrame, chunk: int = CHUNK, segment: int = SEGMENT) -> DataFrame:
+def records_of(pages: DataFrame, chunk: int = CHUNK, segment: int = SEGMENT, damaged: int = 0) -> DataFrame:
     """`pages` (page_id, url, html) as a crawler would have stored them: chunked HTTP responses, cut into segments of `segment` bytes.
 
-    Null page_ids and htmls make no records.
+    With `damaged`, four of so many pages by their number are spoilt, each in another way (see DAMAGED). Null page_ids and htmls make no records.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -106,11 +147,17 @@ def records_of(pages: DataFrame, chunk: int = CHUNK, segment: int = SEGMENT) ->
             out, size = [], 0
             html = batch.column("html")
             for at, (page, url) in enumerate(zip(batch.column("page_id").to_pylist(), batch.column("url").to_pylist())):
-                block = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nTransfer-Encoding: chunked\r\n\r\n" + chunked(html[at].as_buffer().to_pybytes(), chunk)
+                kind = page % damaged if damaged else -1
+                block = HEADER + chunked(html[at].as_buffer().to_pybytes(), chunk)
+                block = block[:-5] if kind == 3 else block
                 origin = f"<urn:page:{page}>"
                 n = max(1, -(-len(block) // segment))
                 for k in range(n):
-                    out.append((origin if k == 0 else f"<urn:page:{page}:{k + 1}>", "response" if k == 0 else "continuation", url, k + 1 if n > 1 else None, None if k == 0 else origin, len(block) if k == n - 1 and n > 1 else None, block[k * segment : (k + 1) * segment]))
+                    if kind == 0 and k == 1:
+                        continue
+                    if kind == 1 and k == 0:
+                        out.append((origin, "response", url, 1, None, None, b"another beginning"))
+                    out.append((origin if k == 0 else f"<urn:page:{page}:{k + 1}>", "response" if k == 0 else "continuation", url, k + 1 if n > 1 else None, None if k == 0 else origin, len(block) + (kind == 2) if k == n - 1 and n > 1 else None, block[k * segment : (k + 1) * segment]))
                 size += len(block)
                 if size > 4_000_000:
                     yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out), _RECORD)], schema=_RECORD)
@@ -194,7 +241,7 @@ def reassembled(records: DataFrame) -> DataFrame:
 
     records has the columns of RECORD; others are ignored. Continuations are grouped by their origin's id and ordered by number;
     a record without a number is its own first segment. status is 'complete', or says why there is no body: 'missing_segment',
-    'no_last_segment' (none tells the total length), 'wrong_length', 'conflict' (segments of one number, or total lengths, differ), 'bad_header' or
+    'no_last_segment' (none tells the total length), 'wrong_length', 'conflict' (segments of one number, or total lengths, differ: the least block of each number is counted then), 'bad_header' or
     'bad_chunks'. Segments that are there twice alike count once. The body of a HTTP response comes without header and chunked
     framing, any other block whole. Rows without an id for their group have no place and are left out, null blocks are
     empty ones; a null number of a continuation is taken as 0, which no record has. An empty table gives no rows. One record must fit into a task's memory; a partition needn't.
@@ -202,9 +249,9 @@ def reassembled(records: DataFrame) -> DataFrame:
     origin: Column = F.when(F.lower("type") == "continuation", F.col("segment_origin_id")).otherwise(F.col("record_id"))
     number = F.coalesce("segment_number", F.when(F.lower("type") == "continuation", 0).otherwise(1)).cast("long")
     rows = records.select(origin.alias("origin"), "target_uri", number.alias("number"), F.col("segment_total_length").cast("long").alias("segment_total_length"), F.coalesce("block", F.lit(b"")).alias("block")).where("origin is not null")
-    return rows.repartition("origin").sortWithinPartitions("origin", "number").mapInArrow(_stream, "record_id string, target_uri string, status string, segments long, block_bytes long, body binary")
+    return rows.repartition("origin").sortWithinPartitions("origin", "number", "block", "target_uri", "segment_total_length").mapInArrow(_stream, "record_id string, target_uri string, status string, segments long, block_bytes long, body binary")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    done = reassembled(records_of(read(spark, sf_dir, "pages")))
+    done = reassembled(records_of(read(spark, sf_dir, "pages"), damaged=DAMAGED))
     return done.select(F.regexp_extract("record_id", r"<urn:page:(-?\d+)>", 1).cast("long").alias("page_id"), "target_uri", "status", F.octet_length("body").cast("long").alias("body_bytes"), F.md5("body").alias("body_md5"))

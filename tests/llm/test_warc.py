@@ -1,3 +1,5 @@
+import gzip
+
 from tessera.llm import warc
 from tests.llm.tools import rows
 
@@ -44,6 +46,28 @@ def test_files(spark, tmp_path):
     assert [(r["status"], bytes(r["body"]), r["segments"]) for r in done] == [("complete", b"one\r\n\r\ntwo", 2)]
 
 
+def test_damaged_and_zipped_files(spark, tmp_path):
+    made = [{"record_id": f"r{k}", "type": "resource", "target_uri": f"u{k}", "segment_number": None, "segment_origin_id": None, "segment_total_length": None, "block": b"body %d WARC/1.1 within" % k} for k in range(6)]
+    raw = list(map(warc.render, made))
+    raw[1] = raw[1].replace(b"Content-Length: ", b"Content-Length: x")
+    raw[3] = raw[3].replace(b"Content-Length: ", b"Content-Length: 9")
+    assert [r["record_id"] for r in warc.parse(b"".join(raw))] == ["r0", "r2", "r4", "r5"]
+    zipped = [gzip.compress(warc.render(r)) for r in made]
+    assert [r["block"] for r in warc.parse(warc.unzipped(b"".join(zipped)))] == [r["block"] for r in made]
+    zipped[2] = zipped[2][:12] + b"\xff" * 30 + zipped[2][42:]
+    left = [r["record_id"] for r in warc.parse(warc.unzipped(b"".join(zipped)))]
+    assert left[:2] == ["r0", "r1"] and left[-3:] == ["r3", "r4", "r5"]
+    (tmp_path / "z.warc.gz").write_bytes(b"".join(gzip.compress(warc.render(r)) for r in made))
+    (tmp_path / "empty.warc").write_bytes(b"")
+    assert warc.read_warc(spark, str(tmp_path)).count() == 6
+
+
+def test_conflicts_have_one_result(spark):
+    given = [segment("a", "response", 1, None, None, b"y", "v"), segment("a", "response", 1, None, None, b"xx", "u"), segment("a2", "continuation", 2, "a", 9, b"z")]
+    seen = {tuple(warc.reassembled(spark.createDataFrame(order, warc.RECORD)).first()) for order in (given, given[::-1])}
+    assert seen == {("a", "u", "conflict", 2, 3, None)}
+
+
 def test_pages(spark):
     pages = spark.createDataFrame([(1, "u", "é" * 9000), (2, "u", ""), (3, None, "x"), (None, "u", "x"), (4, "u", None)], "page_id long, url string, html string")
     done = {r["record_id"]: r["body"] for r in warc.reassembled(warc.records_of(pages)).collect()}
