@@ -177,10 +177,10 @@ def q_run_results(spark: SparkSession, d: str) -> DataFrame:
     return one.unionByName(readers.read_json(spark, f"{path}/summary.json", "n long").select(F.lit("summary").alias("kind"), F.lit(None).cast("long").alias("item"), "n"))
 
 
-@query("SELECT lang AS topic, source AS title, list(doc_id ORDER BY doc_id)::VARCHAR AS ids FROM documents WHERE lang IS NOT NULL AND source IS NOT NULL AND doc_id % 50 = 0 GROUP BY lang, source")
+@query("SELECT lang AS topic, source AS title, list(doc_id ORDER BY doc_id)::VARCHAR AS ids FROM documents WHERE lang IS NOT NULL AND source IS NOT NULL GROUP BY lang, source")
 def q_zip_strict(spark: SparkSession, d: str) -> DataFrame:
     """Titles and their questions from two lists of the same length, by place."""
-    rows = table(spark, d, "documents").where("lang is not null and source is not null and doc_id % 50 = 0")  # a sample of ids as the questions, alike in the SQL
+    rows = table(spark, d, "documents").where("lang is not null and source is not null")
     each = rows.groupBy("lang", "source").agg(F.array_sort(F.collect_list(F.col("doc_id"))).alias("q"))
     lists = each.groupBy("lang").agg(F.array_sort(F.collect_list(F.struct("source", "q"))).alias("s")).select("lang", F.col("s.source").alias("titles"), F.col("s.q").alias("questions"))
     made = lists.select("lang", F.explode(topics.zipped(F.col("titles"), F.col("questions"))).alias("z"))
