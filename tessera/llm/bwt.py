@@ -64,11 +64,18 @@ def sorted_suffixes(text: np.ndarray, depth: int) -> np.ndarray:
     return order
 
 
+def narrow(n: int) -> type:
+    """The type for numbers below n: of half the size, as long as they fit."""
+    return np.int32 if n < 1 << 31 else np.int64
+
+
 def counted(key: np.ndarray) -> np.ndarray:
     """The stable order of keys from 0 to 2 ** 32 - 1, by counting: a pass over the lower 16 bits, one over the upper ones if there are any."""
-    order = np.argsort(key.astype(np.uint16), kind="stable")  # a radix sort, as the type has 16 bits
+    kind = narrow(len(key))
+    order = np.argsort(key.astype(np.uint16), kind="stable").astype(kind)  # a radix sort, as the type has 16 bits
     if len(key) and key.max() >= 1 << 16:
-        order = order[np.argsort((key[order] >> 16).astype(np.uint16), kind="stable")]
+        upper = (key >> 16).astype(np.uint16)[order]
+        order = order[np.argsort(upper, kind="stable").astype(kind)]
     return order
 
 
@@ -84,40 +91,52 @@ def merged(shards: list[np.ndarray], depth: int) -> tuple[np.ndarray, np.ndarray
     """
     text = np.concatenate(shards)
     n, offsets = len(text), np.cumsum([0, *map(len, shards)])[:-1]
-    rows = np.concatenate([sorted_suffixes(s, depth) + o for s, o in zip(shards, offsets)])
-    row_of = np.empty(n, np.int64)
-    row_of[rows] = np.arange(n)
-    word = text[rows].astype(np.int64)
+    kind = narrow(n)
+    rows, row_of = np.empty(n, kind), np.empty(n, kind)
+    for s, o in zip(shards, offsets.tolist()):
+        rows[o : o + len(s)] = sorted_suffixes(s, depth) + o
+    row_of[rows] = np.arange(n, dtype=kind)
     front = row_of[rows - 1]  # last to first: the row of the suffix that begins a word before; none in front of a segment
     front[text[rows - 1] == 0] = -1
-    ended = word == 0
-    first = np.where(ended, np.cumsum(ended) - 1, word + int(ended.sum()))  # the ends differ from each other, and come first
+    behind = row_of[np.minimum(rows + 1, n - 1)]
+    del row_of
+    first = text[rows]
+    ended = first == 0
+    first += int(ended.sum())
+    first[ended] = np.arange(int(ended.sum()))  # the ends differ from each other, and come first
+    del text, ended
     slot_row = counted(first)  # the row in each slot, after the round of the first word
-    at = np.empty(n, np.int64)
-    at[slot_row] = np.arange(n)
+    at = np.empty(n, kind)
+    at[slot_row] = np.arange(n, dtype=kind)
     in_order = first[slot_row]
     bound = np.concatenate(([True], in_order[1:] != in_order[:-1]))
-    shared = np.where(bound, 0, depth).astype(np.int32)
-    behind = row_of[np.minimum(rows + 1, n - 1)]
-    open_ = np.flatnonzero(~(bound & np.append(bound[1:], True)))  # slots of blocks of several rows
+    del first, in_order
+    shared = np.full(n, depth, np.min_scalar_type(depth))
+    shared[bound] = 0
+    open_ = np.flatnonzero(~(bound & np.append(bound[1:], True))).astype(kind)  # slots of blocks of several rows
     marked = np.zeros(n, bool)
     for h in range(1, depth):
         if not len(open_):
             break
-        block = np.cumsum(bound, dtype=np.int32)
+        block = np.cumsum(bound, dtype=kind)
         marked[:] = False
         marked[at[behind[slot_row[open_]]]] = True
-        source = np.flatnonzero(marked)
+        source = np.flatnonzero(marked).astype(kind)
         walk = front[slot_row[source]]
-        own = block[at[walk]]
-        number = np.cumsum(np.concatenate(([0], np.diff(block[open_]) > 0)))  # of the open blocks, in order
-        small = np.zeros(int(block[-1]) + 1, np.int64)
-        small[block[open_]] = number
-        order = counted(small[own])
-        walk, own, before = walk[order], own[order], block[source[order]]
+        before = block[source]
+        del source
+        small = np.zeros(int(block[-1]) + 1, kind)
+        small[block[open_]] = np.cumsum(np.diff(block[open_], prepend=block[open_[:1]]) > 0, dtype=kind)  # numbers of the open blocks, in order
+        own = small[block[at[walk]]]
+        del block, small
+        order = counted(own)
+        walk, own, before = walk[order], own[order], before[order]
+        del order
+        slot_row[open_], at[walk] = walk, open_
+        del walk
         fresh = open_[np.concatenate(([True], (own[1:] != own[:-1]) | (before[1:] != before[:-1])))]
+        del own, before
         fresh = fresh[~bound[fresh]]
-        slot_row[open_], at[walk] = walk, open_
         bound[fresh] = True
         shared[fresh] = h
         open_ = open_[~(bound[open_] & np.append(bound, True)[open_ + 1])]
@@ -129,23 +148,33 @@ def repeats(segments: list[np.ndarray], docs_lo: np.ndarray, docs_hi: np.ndarray
 
     docs_lo and docs_hi are the least and the greatest document of each segment.
     """
-    numbers = np.unique(np.concatenate(segments), return_inverse=True)[1].astype(np.int64) + 1
     sizes = np.array([len(s) for s in segments])
-    text = np.zeros(sizes.sum() + len(sizes), np.int64)
+    n = int(sizes.sum()) + len(sizes)
+    kind = narrow(n)
     begin = np.cumsum(sizes + 1) - sizes - 1
-    text[np.arange(sizes.sum()) + np.repeat(np.arange(len(sizes)), sizes)] = numbers
-    cuts = np.flatnonzero(np.diff((begin + sizes) // shard, prepend=0)) if len(text) > shard else np.empty(0, int)
-    shards = [s for s in np.split(text, begin[cuts]) if len(s)]
-    positions, shared = merged(shards, length)
-    segment = np.searchsorted(begin, positions, "right") - 1
+    segment_of = np.repeat(np.arange(len(sizes), dtype=kind), sizes + 1)
+    word = np.ones(n, bool)
+    word[begin + sizes] = False
+    joined = np.concatenate(segments)
+    known = np.unique(joined)
+    text = np.zeros(n, kind)
+    text[word] = np.searchsorted(known, joined).astype(kind) + 1
+    del word, joined, known
+    cuts = np.flatnonzero(np.diff((begin + sizes) // shard, prepend=0)) if n > shard else np.empty(0, int)
+    positions, shared = merged([s for s in np.split(text, begin[cuts]) if len(s)], length)
+    del text
     block = np.flatnonzero(shared < length)
-    lo, hi = np.minimum.reduceat(docs_lo[segment], block), np.maximum.reduceat(docs_hi[segment], block)
-    size = np.diff(np.append(block, len(positions)))
-    first = np.empty(len(text), np.int64)
+    size = np.diff(np.append(block, n))
+    segment = segment_of[positions]
+    lo = np.minimum.reduceat(docs_lo[segment], block)
+    hi = np.maximum.reduceat(docs_hi[segment], block)
+    del shared, block, segment, segment_of
+    first = np.empty(n, np.int64)
     first[positions] = np.repeat(lo, size)
-    both = np.zeros(len(text), bool)
+    both = np.zeros(n, bool)
     both[positions] = np.repeat(lo < hi, size)
-    both &= np.arange(len(text)) + length <= np.repeat(begin + sizes, sizes + 1)
+    del positions, lo, hi, size
+    both &= np.arange(n, dtype=kind) <= np.repeat((begin + sizes - length).astype(kind), sizes + 1)
     start = np.flatnonzero(both & ~np.concatenate(([False], both[:-1])))
     end = np.flatnonzero(both & ~np.append(both[1:], False)) + length
     out: list[list[tuple[int, int, int]]] = [[] for _ in segments]

@@ -1,4 +1,5 @@
 import random
+import tracemalloc
 
 import numpy as np
 
@@ -67,5 +68,25 @@ def test_against_brute_force(spark):
     assert found == brute(texts, 8)
 
 
+def test_memory_of_a_merge():
+    rng = np.random.default_rng(2)
+    segments = []
+    for _ in range(1000):
+        one = rng.integers(1, 1 << 32, 3000, dtype=np.uint32)[np.minimum(rng.zipf(1.2, 100) - 1, 2999)]
+        other = one.copy()
+        other[rng.integers(100)] = 0
+        segments += [one, other]
+    owners = np.arange(len(segments)) + (1 << 40)
+    tracemalloc.start()
+    found = bwt.repeats(segments, owners, owners, 50, shard=1 << 16)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 100 * sum(map(len, segments))
+    for k in range(0, len(segments), 2):
+        at = int(np.flatnonzero(segments[k] != segments[k + 1])[0]) if (segments[k] != segments[k + 1]).any() else 100
+        expected = [(a, b, int(owners[k])) for a, b in ((0, at), (at + 1, 100)) if b - a >= 50]
+        assert found[k] == found[k + 1] == expected
+
+
 def test_nothing(spark):
     assert rows(bwt.repeated_passages(docs(spark, []))) == []
