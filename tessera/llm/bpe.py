@@ -9,7 +9,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm.common import over_texts, read
+from tessera.llm.common import PIECE, alone, over_texts, read
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: How text is split before the merges.
@@ -147,6 +147,7 @@ class Encoder:
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """The token ids of each text."""
+        alone(self)
         if len(self.known) > KEPT or len(self.ids) > KEPT_IDS:
             self.forget()
         split = [self.split.findall(t) for t in texts]
@@ -185,7 +186,7 @@ def _encoder(shared) -> Encoder:
 def _run(shared):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(shared)
-        for keys, texts in over_texts(batches, chars=1_000_000):
+        for keys, texts in over_texts(batches, chars=PIECE):
             some = [t for t in texts if t is not None]
             found = iter(encoder.encode(some))
             ids = [None if t is None else next(found) for t in texts]

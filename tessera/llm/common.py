@@ -2,6 +2,7 @@
 
 import re
 import tempfile
+import weakref
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
@@ -11,8 +12,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 WORD = re.compile(r"\w+")
-#: Distinct words whose hashes a Python worker keeps before it starts anew.
-CACHED_WORDS = 400_000
+#: Distinct words whose hashes a Python worker keeps before it starts anew, and characters that it works on at once. Neither changes a result.
+CACHED_WORDS, PIECE = 200_000, 1_000_000
 
 
 class Cache(dict):
@@ -28,6 +29,26 @@ class Cache(dict):
         value = self[key] = self.of(key)
         return value
 
+    def forget(self) -> None:
+        self.clear()
+
+
+_used: Callable = lambda: None  # noqa: E731 - gives the cache that this process used last, while it exists
+
+
+def alone(cache) -> None:
+    """Lets this process keep no other words than those of `cache`.
+
+    Spark's Python workers outlive a stage: what each stage had cached would stay in memory beside the next one's. What
+    was used before is emptied, by its forget(), and computed again if it is needed again.
+    """
+    global _used
+    if (before := _used()) is not cache:
+        if before is not None:
+            before.forget()
+        _used = weakref.ref(cache)
+        pa.default_memory_pool().release_unused()
+
 
 _HASHES = Cache(xxhash.xxh64_intdigest)
 
@@ -39,6 +60,7 @@ def words(text: str) -> list[str]:
 
 def hashes(tokens: list[str]) -> np.ndarray:
     """One stable 64-bit hash a word."""
+    alone(_HASHES)
     return np.fromiter(map(_HASHES.__getitem__, tokens), np.uint64, len(tokens))
 
 
@@ -65,7 +87,7 @@ def grams(w: np.ndarray, places: Iterable[int]) -> np.ndarray:
     return mix(total)
 
 
-def over_texts(batches: Iterable[pa.RecordBatch], key: str = "doc_id", chars: int = 4_000_000) -> Iterator[tuple[list, list]]:
+def over_texts(batches: Iterable[pa.RecordBatch], key: str = "doc_id", chars: int = PIECE) -> Iterator[tuple[list, list]]:
     """(keys, texts) in pieces of about `chars` characters, whatever the size of the Arrow batches."""
     for batch in batches:
         keys, texts, k, t, size = batch.column(key).to_pylist(), batch.column("text"), [], [], 0

@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import CACHED_WORDS, over_texts, read, table
+from tessera.llm.common import CACHED_WORDS, PIECE, alone, over_texts, read, table
 
 #: Documents on which the scorer is fitted, about; votes and their statistics are of all documents.
 TRAINED = 6000
@@ -79,6 +79,7 @@ class Tokens:
 
         A name is the number of a token's lower-case form, good for comparisons within these texts.
         """
+        alone(self)
         if len(self.index) >= self.most:  # common tokens come back at once; a dictionary that grows without end would be slow and large
             self.forget()
         split = [t.split() for t in texts]
@@ -254,7 +255,7 @@ def _scorer(shared):
     return F.arrow_udf(run, "double")
 
 
-def _pieces(texts: pa.Array, chars: int = 4_000_000) -> Iterator[list[str]]:
+def _pieces(texts: pa.Array, chars: int = PIECE) -> Iterator[list[str]]:
     some, size = [], 0
     for text in texts:
         some.append(text.as_py() or "")
