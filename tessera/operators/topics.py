@@ -1,5 +1,7 @@
 """Trees of topics, subtopics and questions: expansion, flattening, and what is still to do."""
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -24,9 +26,9 @@ def flattened(topics: DataFrame) -> DataFrame:
     return each.select(custom_id(F.col("idx"), F.col("s"), F.col("q")).alias("custom_id"), strip(F.col("topic")).alias("topic"), "subtopic", "question")
 
 
-def expanded(items: Column, n: int) -> Column:
+def expanded(items: Column, n: int, trimmed: Callable[[Column], Column] = strip) -> Column:
     """The first n of a list's distinct entries, trimmed, without blank ones, compared without case; null if there are fewer."""
-    plain = F.filter(F.transform(items, strip), lambda x: x != "")
+    plain = F.filter(F.transform(items, lambda x: trimmed(x)), lambda x: x != "")
     lowered = F.transform(plain, F.lower)
     first = F.filter(plain, lambda x, i: F.array_position(lowered, F.lower(x)) == i + 1)
     return F.when(F.size(first) >= n, F.slice(first, 1, n))
