@@ -1,7 +1,11 @@
 """Tables from files. Bad inputs are skipped or raise, as each reader says."""
 
-from collections.abc import Iterable
+import json
+import re
+from collections.abc import Iterable, Iterator
+from itertools import islice
 
+import pyarrow as pa
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -10,6 +14,8 @@ from tessera.functions.text import first_present, is_blank, strip, valid_content
 
 #: Columns that may hold a table's text, the most wanted first.
 PREFERRED = ("ban", "cbn", "id", "jv", "content")
+#: Entries of a lexicon's file that leave a Python worker at once.
+ENTRIES = 10_000
 
 
 def text_only(df: DataFrame, preferred: Iterable[str] = PREFERRED, strict: bool = True) -> DataFrame:
@@ -110,26 +116,78 @@ def read_tree(spark: SparkSession, path: str) -> DataFrame:
     return found.where(~F.contains("folder", F.lit("dict")) & valid_content(F.col("text"))).select("text", "title")
 
 
+def _object_entries(whole: str) -> Iterator[tuple[str, object]]:
+    """The keys and values of a JSON object one by one in their order, numbers as None; ValueError where it is none."""
+
+    def refused(name: str) -> None:
+        raise ValueError(f"{name} is no JSON")
+
+    decoder = json.JSONDecoder(parse_int=lambda x: None, parse_float=lambda x: None, parse_constant=refused)
+    skip = re.compile(r"[ \t\n\r]*").match
+
+    def behind(sign: str, at: int) -> int:
+        if whole[at : at + 1] not in sign or at >= len(whole):
+            raise ValueError(f"no {sign} at {at}")
+        return skip(whole, at + 1).end()
+
+    at = behind("{", skip(whole, 0).end())
+    more = whole[at : at + 1] != "}"
+    while more:
+        if whole[at : at + 1] != '"':
+            raise ValueError(f"no key at {at}")
+        key, at = decoder.raw_decode(whole, at)
+        at = behind(":", skip(whole, at).end())
+        try:
+            value, at = decoder.raw_decode(whole, at)
+        except RecursionError:
+            raise ValueError(f"too deep at {at}") from None
+        yield key, value
+        at = skip(whole, at).end()
+        more = whole[at : at + 1] != "}"
+        if more:
+            at = behind(",", at)
+    if behind("}", at) != len(whole):
+        raise ValueError("more than an object")
+
+
+def _lexicon_entries(spark: SparkSession, path: str) -> DataFrame:
+    """(file, pos, key, translations) of the JSON objects in files. What is no object gives none.
+
+    The entries leave a file one by one: as variants each would carry the names of all others.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        plain = lambda x: x.encode("utf-8", "replace").decode()  # noqa: E731 - halves of surrogate pairs
+        for batch in batches:
+            for file, value in zip(*batch.columns):
+                try:
+                    whole = value.as_py()
+                    for _ in _object_entries(whole):
+                        pass
+                except ValueError:
+                    continue
+                entries = enumerate(_object_entries(whole))
+                while some := list(islice(entries, ENTRIES)):
+                    listed = [[plain(x) for x in (v if isinstance(v, list) else [v]) if isinstance(x, str)] for _, (_, v) in some]
+                    columns = [file.as_py()] * len(some), [i for i, _ in some], [plain(k) for _, (k, _) in some], listed
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.int64(), pa.string(), pa.list_(pa.string())))], ["file", "pos", "key", "translations"])
+
+    raw = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), "value")
+    return raw.mapInArrow(run, "file string, pos long, key string, translations array<string>")
+
+
 def read_lexicon(spark: SparkSession, path: str) -> DataFrame:
-    """(word, translations) of a JSON object from words to a string or list of strings, all in lower case. What is neither has no translations; of words that differ in case only the last stays."""
-    raw = spark.read.text(path, wholetext=True).select(F.try_parse_json("value").alias("v"))
-    pairs = raw.lateralJoin(spark.tvf.variant_explode(F.col("v").outer())).select("pos", F.lower("key").alias("word"), "value")
-    kind = F.schema_of_variant("value")
-    listed = F.try_variant_get("value", "$", "array<variant>")
-    strings = F.transform(F.filter(listed, lambda x: F.schema_of_variant(x) == "STRING"), lambda x: F.lower(F.try_variant_get(x, "$", "string")))
-    one = F.array(F.lower(F.try_variant_get("value", "$", "string")))
-    values = F.when(kind == "STRING", one).when(F.startswith(kind, F.lit("ARRAY")), strings).otherwise(F.array().cast("array<string>"))
-    return pairs.withColumn("translations", values).groupBy("word").agg(F.max_by("translations", "pos").alias("translations"))
+    """(word, translations) of a JSON object from words to a string or list of strings, all in lower case. What is neither has no translations; of words that differ in case only the last stays. A file that is no object gives none."""
+    pairs = _lexicon_entries(spark, path).select(F.struct("file", "pos").alias("at"), F.lower("key").alias("word"), F.transform("translations", lambda x: F.lower(x)).alias("translations"))
+    return pairs.groupBy("word").agg(F.max_by("translations", "at").alias("translations"))
 
 
 def read_lexicon_words(spark: SparkSession, path: str) -> DataFrame:
     """(word): the keys of a JSON object in lower case; a file that is missing or no object gives none."""
-    none = spark.createDataFrame([], "word string")
     try:
-        raw = spark.read.text(path, wholetext=True).select(F.try_parse_json("value").alias("v")).where(F.startswith(F.schema_of_variant("v"), F.lit("OBJECT")))
+        return _lexicon_entries(spark, path).select(F.lower("key").alias("word")).distinct()
     except AnalysisException:
-        return none
-    return raw.lateralJoin(spark.tvf.variant_explode(F.col("v").outer())).where("key is not null").select(F.lower("key").alias("word")).distinct()
+        return spark.createDataFrame([], "word string")
 
 
 def shards(spark: SparkSession, folder: str, prefix: str, suffix: str = ".jsonl") -> list[str]:

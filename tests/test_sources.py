@@ -94,3 +94,22 @@ def test_resumed_stream(spark, tmp_path):
             spark.createDataFrame(more, "id long, v string").write.mode("append").parquet(source)
         append_new(spark.readStream.schema("id long, v string").parquet(source), sink, "id", state).awaitTermination()
     assert sorted(tuple(r) for r in spark.read.parquet(sink).collect()) == [(1, "a"), (2, "b"), (3, "c")]
+
+
+def test_lexicon_entries_are_small(spark, tmp_path):
+    """What entries weigh doesn't grow with the file's other words; as variants, each would have the names of all."""
+    words = [f"word{i:06d}{'x' * 40}" for i in range(60_000)]
+    (tmp_path / "large.json").write_text(json.dumps({w.title(): [w[::-1]] for w in words}))
+    assert readers.read_lexicon(spark, str(tmp_path / "large.json")).where("translations[0] = reverse(word)").count() == len(words)
+    plan = readers.read_lexicon(spark, str(tmp_path / "large.json"))._jdf.queryExecution().optimizedPlan().toString()
+    assert "variant" not in plan
+
+
+def test_lexicons_that_are_odd(spark, tmp_path):
+    cases = {
+        '{"B": "x", "a": ["Y"], "b": ["z"], "B": "\\u00c4"}': {"b": ["ä"], "a": ["y"]}, ' { } \n': {}, '{"a": 1, "c": null, "d": {"e": ["f"]}, "g": [["h"], "i", 1e5]}': {"a": [], "c": [], "d": [], "g": ["i"]},
+        '{"a": 1}x': {}, '{"a": 1': {}, '{"a": 1,}': {}, '{"a" 1}': {}, "[1]": {}, "": {}, '{"a": NaN}': {}, "{": {}, '{"a": "\\ud800"}': {"a": ["?"]}, '{"a": ' + "9" * 5000 + "}": {"a": []}, "{1: 2}": {}, '{"a": ' + "[" * 100_000: {},
+    }
+    for i, (text, wanted) in enumerate(cases.items()):
+        (tmp_path / f"{i}.json").write_text(text)
+        assert {r[0]: r[1] for r in readers.read_lexicon(spark, str(tmp_path / f"{i}.json")).collect()} == wanted, text[:50]
