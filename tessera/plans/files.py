@@ -103,7 +103,9 @@ def q_text_tree(spark: SparkSession, d: str) -> DataFrame:
 
 def _lexicon_file(spark: SparkSession, d: str) -> str:
     """A JSON object of the bilingual lexicon."""
-    entry = F.struct(F.initcap("word").alias("key"), F.to_json("translations").alias("value"))
+    titled = F.initcap("word")
+    key = F.when(F.lower(titled) == F.col("word"), titled).otherwise(F.col("word"))  # of ß the title is Ss
+    entry = F.struct(key.alias("key"), F.to_json("translations").alias("value"))
     row = _paired(spark, d).agg(F.array_sort(F.collect_list(entry)).alias("e"))
     body = F.array_join(F.transform("e", lambda x: F.concat(F.lit('"'), x["key"], F.lit('": '), x["value"])), ", ")
     return _lines(row, F.concat(F.lit('{"odd": 5, '), body, F.lit("}")), _folder(spark, "lexicon.json"))

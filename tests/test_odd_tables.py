@@ -17,3 +17,9 @@ def compared(spark, folder, name, docs):
 def test_first_words_keep_their_digits(spark, tmp_path):
     texts = ["a +1 b", "0a0 b1 c", "a\n b", "\tA a", "a  b", " a b", "a", "", None, "a A b", "100 001"]
     assert compared(spark, tmp_path, "q_topic_expand", [(t, "en") for t in texts]) is None
+
+
+def test_lexicon_file_gives_sharp_s_back(spark, tmp_path):
+    docs = [("ß éa", "fr")] * 20 + [("ßen a", "de")] * 20
+    for name in ("q_lexicon_file", "q_lexicon_words"):
+        assert compared(spark, tmp_path, name, docs) is None
