@@ -1,10 +1,28 @@
 """Word sets, bilingual lexicons, glossaries, and measures by them."""
 
+import re
+import unicodedata
+from collections import Counter
+from collections.abc import Callable, Iterator
+from functools import lru_cache
+from itertools import chain
+
+import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import DataType, StructField, StructType
 
 from tessera.functions.text import clean_word, is_blank, leading_symbols, ngrams, tokens, trailing_symbols, words
-from tessera.sources.folders import bounded
+from tessera.sources import folders
+from tessera.sources.folders import bounded, checkpointed
+
+#: White space as Spark's expressions know it, what is cut by it, and what correction works on: pieces of it and of the rest.
+EDGES = tuple(" \t\n\x0b\f\r")
+SPACE, PIECES = re.compile(r"[ \t\n\x0b\f\r]+"), re.compile(r"[ \t\n\x0b\f\r]+|[^ \t\n\x0b\f\r]+")
+#: Characters that a Python worker sends at once, and distinct pieces that it keeps. Neither changes a result.
+PIECE, CACHED = 1_000_000, 200_000
 
 
 def frequent_words(docs: DataFrame, least: int = 20) -> DataFrame:
@@ -65,22 +83,93 @@ def describe(df: DataFrame, group: Column, *columns: str) -> DataFrame:
     )
 
 
+def _documents(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[object, list[str | None]]]:
+    """(doc_id, texts) of rows in the order of doc_id: one text, unless the id stands there again."""
+    last, texts = None, []
+    for batch in batches:
+        column = batch.column(1)
+        for at, key in enumerate(batch.column(0).to_pylist()):
+            if texts and key != last:
+                yield last, texts
+                texts = []
+            last = key
+            texts.append(column[at].as_py())
+    if texts:
+        yield last, texts
+
+
+def _over_documents(docs: DataFrame, text: Column, maker: Callable[[], Callable[[object, list[str | None]], list[tuple]]], **columns: str) -> DataFrame:
+    """(doc_id, columns) of the rows that what `maker` gives a task makes of an id and its texts. The texts are shuffled once, and their parts never."""
+    schema = StructType([StructField("doc_id", docs.schema["doc_id"].dataType), *[StructField(k, DataType.fromDDL(v)) for k, v in columns.items()]])
+    arrow = to_arrow_schema(schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of, made, weight = maker(), [], 0
+        for key, texts in _documents(batches):
+            made += of(key, texts)
+            weight += 100 + sum(len(t) for t in texts if t)
+            if weight >= PIECE and made:
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*made), arrow)], schema=arrow)
+                made, weight = [], 0
+        if made:
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*made), arrow)], schema=arrow)
+
+    rows = docs.select("doc_id", text.alias("text")).repartition("doc_id").sortWithinPartitions("doc_id")
+    return rows.mapInArrow(run, schema)
+
+
+def _sent(table: DataFrame) -> tuple[DataFrame, Broadcast | None]:
+    """A table of two columns written once, and, if it has at most BROADCAST_ROWS rows, a dictionary of it for the Python workers."""
+    done = checkpointed(table)
+    return done, table.sparkSession.sparkContext.broadcast(dict(map(tuple, done.toLocalIterator()))) if done.count() <= folders.BROADCAST_ROWS else None
+
+
 def glossary(docs: DataFrame, pairs: DataFrame, repeats: bool = False) -> DataFrame:
     """(doc_id, glossary): the lexicon's entries for the three-, two- and one-word runs of a lower-cased text, in order.
 
-    A line "- run: a, b" for each; with `repeats` once for each occurrence, else once.
+    A line "- run: a, b" for each; with `repeats` once for each occurrence, else once. A lexicon of more than BROADCAST_ROWS
+    words is joined by shuffling all runs.
     """
+    row = F.concat(F.lit("- "), F.col("word"), F.lit(": "), F.array_join("translations", ", "), F.lit("\n"))
+    rows = F.collect_list("row") if repeats else F.collect_set("row")
+    lines = pairs.where("word is not null").where(F.size("translations") > 0).select("word", row.alias("row")).groupBy("word").agg(F.array_join(F.array_sort(rows), "").alias("row"))
+    lines, sent = _sent(lines)
+    if sent is None:
+        return _joined_glossary(docs, lines, repeats)
+    lengths = [n for n in (3, 2, 1) if any(w.count(" ") == n - 1 for w in sent.value)]
+
+    def listed(key: object, texts: list[str | None]) -> list[tuple]:
+        if key is None:
+            return [(key, "")] * len(texts)
+        known, out = sent.value, []
+        cut = [[p for p in SPACE.split(t) if p] for t in texts if t is not None]
+        for n in lengths:
+            runs = [parts if n == 1 else [" ".join(parts[i : i + n]) for i in range(len(parts) - n + 1)] for parts in cut]
+            met = [[(g, i) for i, g in enumerate(r) if g in known] for r in runs]
+            if not repeats:
+                met = [[(g, i) for g, i in dict(reversed(m)).items()] for m in met]
+                least: dict[str, int] = {}
+                for g, i in chain(*met):
+                    least[g] = min(i, least.get(g, i))
+                met = [list(least.items())]
+            out += [x for _, x in sorted((i, known[g]) for g, i in chain(*met))]
+        return [(key, "".join(out))] * len(texts)
+
+    return _over_documents(docs, F.lower("text"), lambda: listed, glossary="string")
+
+
+def _joined_glossary(docs: DataFrame, lines: DataFrame, repeats: bool) -> DataFrame:
+    """glossary() by lines (word, row) of any number."""
     cut = docs.select("doc_id", tokens(F.lower(F.col("text"))).alias("parts"))
 
     def placed(n: int) -> Column:
         return F.transform(ngrams(F.col("parts"), n), lambda g, i: F.struct(F.lit(-n).alias("n"), i.alias("i"), g.alias("gram")))
 
     each = cut.select("doc_id", F.explode(F.flatten(F.array(*map(placed, (3, 2, 1))))).alias("g")).select("doc_id", "g.n", "g.i", "g.gram")
-    met = each.join(bounded(pairs.where(F.size("translations") > 0)), F.col("gram") == F.col("word")).select("doc_id", "n", "i", "gram", "translations")
+    met = each.join(lines, F.col("gram") == F.col("word")).select("doc_id", "n", "i", "gram", "row")
     if not repeats:
-        met = met.groupBy("doc_id", "n", "gram").agg(F.min("i").alias("i"), F.first("translations").alias("translations"))
-    row = F.concat(F.lit("- "), F.col("gram"), F.lit(": "), F.array_join("translations", ", "), F.lit("\n"))
-    listed = met.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("n", "i", row.alias("row")))).alias("rows"))
+        met = met.groupBy("doc_id", "n", "gram", "row").agg(F.min("i").alias("i"))
+    listed = met.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("n", "i", "row"))).alias("rows"))
     text = F.array_join(F.transform("rows", lambda r: r["row"]), "")
     return docs.select("doc_id").join(listed, "doc_id", "left").select("doc_id", F.coalesce(text, F.lit("")).alias("glossary"))
 
@@ -150,6 +239,57 @@ def corrected(docs: DataFrame, target: DataFrame, reverse: DataFrame) -> DataFra
     by its first translation in the reverse lexicon (word, translations), its symbols around it, or else invalid. Any other piece is valid, also
     the empty one before leading or after trailing white space.
     """
+    known, fixes = target.select(F.col("word").alias("key"), F.lit(True).alias("known")), reverse.where(F.size("translations") > 0).select(F.col("word").alias("key"), F.get("translations", F.lit(0)).alias("to"))
+    (known, listed), (fixes, replaced) = (_sent(t.where("key is not null")) for t in (known.distinct(), fixes.groupBy("key").agg(F.min("to").alias("to"))))
+    done = _joined_correction(docs, known, fixes) if listed is None or replaced is None else _over_documents(docs.where("text is not null"), F.col("text"), lambda: _corrector(listed, replaced), ws="string", n="long", good="long", new="long", corrections="array<string>")
+    pct = lambda x: F.round(x * 100.0 / F.col("n"), 6)
+    return done.select(
+        "doc_id", F.col("ws").alias("corrected_text"), pct(F.col("good")).alias("valid_pct"), pct(F.col("n") - F.col("good") - F.col("new")).alias("invalid_pct"), pct(F.col("new")).alias("corrected_pct"), "corrections",
+    )
+
+
+def _corrector(listed: Broadcast, replaced: Broadcast) -> Callable[[object, list[str]], list[tuple]]:
+    """What corrected() makes of a document, by a dictionary of valid words and one of replacements."""
+
+    known, to = listed.value, replaced.value
+
+    @lru_cache(CACHED)
+    def judged(piece: str) -> tuple[str, str]:
+        """(kind, what stands in its place) of a piece that is no white space."""
+        if piece.isascii() and piece.isalpha():
+            word, plain = piece, piece.islower()
+        else:
+            kinds = {c: unicodedata.category(c) for c in set(piece)}
+            word = "".join([c for c in piece if kinds[c][0] in "LN" or c in "_'`êÊ"])
+            plain = word != "" and all(kinds[c] == "Ll" for c in word)
+        if not plain or word in known:
+            return "good", piece
+        if word not in to:
+            return "bad", piece
+        return "new", piece[: piece.index(word[0])] + to[word] + piece[piece.rindex(word[-1]) + 1 :]
+
+    def corrected(key: object, texts: list[str]) -> list[tuple]:
+        kinds, changed, placed = Counter(), set(), []
+        for text in texts:
+            pieces = PIECES.findall(text) or [""]
+            if pieces[0][:1] in EDGES:
+                pieces.insert(0, "")
+            if pieces[-1][:1] in EDGES:
+                pieces.append("")
+            words = pieces[::2]  # every other piece is white space
+            found = list(map(judged, words))
+            kinds.update([kind for kind, _ in found])
+            changed.update([f"{word} -> {out}" for word, (kind, out) in zip(words, found) if kind == "new"])
+            pieces[::2] = [out for _, out in found]
+            placed.append(pieces)
+        whole = placed[0] if len(placed) == 1 else [x for _, x in sorted(chain(*map(enumerate, placed)))]
+        return [(key, "".join(whole), kinds.total(), kinds["good"], kinds["new"], sorted(changed))]
+
+    return corrected
+
+
+def _joined_correction(docs: DataFrame, listed: DataFrame, fixes: DataFrame) -> DataFrame:
+    """(doc_id, ws, n, good, new, corrections): what corrected() counts, by word lists (key, known) and (key, to) of any number."""
     text = F.col("text")
     cut = F.split(text, r"(?<=\s)(?=\S)|(?<=\S)(?=\s)")
     edge = lambda p: F.when(F.rlike(text, F.lit(p)), F.array(F.lit(""))).otherwise(F.array().cast("array<string>"))
@@ -157,8 +297,6 @@ def corrected(docs: DataFrame, target: DataFrame, reverse: DataFrame) -> DataFra
     each = docs.select("doc_id", F.posexplode(pieces).alias("i", "piece")).withColumn("clean", clean_word(F.col("piece")))
     plain = F.rlike("clean", F.lit(r"^\p{Ll}+$"))
     each = each.withColumn("space", F.rlike("piece", F.lit(r"^\s+$"))).withColumn("key", F.when(plain, F.col("clean")))
-    listed = bounded(target.select(F.col("word").alias("key"), F.lit(True).alias("known")))
-    fixes = bounded(reverse.where(F.size("translations") > 0).select(F.col("word").alias("key"), F.get("translations", F.lit(0)).alias("to")))
     met = each.join(listed, "key", "left").join(fixes, "key", "left")
     fixed = plain & F.col("known").isNull() & F.col("to").isNotNull()
     new = F.concat(leading_symbols(F.col("piece")), F.col("to"), trailing_symbols(F.col("piece")))
@@ -167,11 +305,7 @@ def corrected(docs: DataFrame, target: DataFrame, reverse: DataFrame) -> DataFra
         F.array_sort(F.collect_list(F.struct("i", "out"))).alias("ws"), F.count_if(~F.col("space")).alias("n"), F.count_if("valid").alias("good"), F.count_if("fixed").alias("new"),
         F.array_sort(F.collect_set(F.when(F.col("fixed"), F.concat("piece", F.lit(" -> "), "out")))).alias("corrections"),
     )
-    pct = lambda x: F.round(x * 100.0 / F.col("n"), 6)
-    return done.select(
-        "doc_id", F.array_join(F.transform("ws", lambda x: x["out"]), "").alias("corrected_text"), pct(F.col("good")).alias("valid_pct"),
-        pct(F.col("n") - F.col("good") - F.col("new")).alias("invalid_pct"), pct(F.col("new")).alias("corrected_pct"), "corrections",
-    )
+    return done.withColumn("ws", F.array_join(F.transform("ws", lambda x: x["out"]), ""))
 
 
 def entry_text(word: Column, translations: Column) -> Column:
