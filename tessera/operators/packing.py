@@ -2,13 +2,16 @@
 
 import base64
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 IGNORED = -100
+#: Tokens that leave a Python worker at once, which bounds its memory and changes no result.
+SENT = 500_000
 #: A public vocabulary, and how text is cut before its merges.
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -87,9 +90,7 @@ def step_columns(rows: Column, batch: int, accumulate: int, epochs: float, eval_
     return total, (F.greatest(F.lit(1), F.ceil(total / max(1, saves) / eval_steps)) * eval_steps).cast("long")
 
 
-def tokenised(docs: DataFrame, path: str = VOCABULARY) -> DataFrame:
-    """(doc_id, n_tokens, token_ids): byte-pair tokens of each text by a vocabulary of base64 tokens and ids; null for a null text."""
-
+def _encoder(path: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import tiktoken
 
@@ -97,8 +98,19 @@ def tokenised(docs: DataFrame, path: str = VOCABULARY) -> DataFrame:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, filter(bytes.strip, lines))}
         encoding = tiktoken.Encoding("corpus", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
         for batch in batches:
-            ids = [None if t is None else encoding.encode_ordinary(t) for t in batch.column("text").to_pylist()]
-            n = pa.array([None if x is None else len(x) for x in ids], pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), n, pa.array(ids, pa.list_(pa.int32()))], ["doc_id", "n_tokens", "token_ids"])
+            keys, texts, first, ids, size = batch.column("doc_id"), batch.column("text"), 0, [], 0
+            for at in range(batch.num_rows):
+                t = texts[at].as_py()
+                ids.append(None if t is None else np.array(encoding.encode_ordinary(t), np.int32))  # a list would take nine times as much
+                size += 0 if t is None else ids[-1].size
+                if size >= SENT or at == batch.num_rows - 1:
+                    n = pa.array([None if x is None else x.size for x in ids], pa.int64())
+                    yield pa.RecordBatch.from_arrays([keys.slice(first, len(ids)), n, pa.array(ids, pa.list_(pa.int32()))], ["doc_id", "n_tokens", "token_ids"])
+                    first, ids, size = at + 1, [], 0
+
+    return run
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {dict(docs.dtypes)['doc_id']}, n_tokens long, token_ids array<int>")
+
+def tokenised(docs: DataFrame, path: str = VOCABULARY) -> DataFrame:
+    """(doc_id, n_tokens, token_ids): byte-pair tokens of each text by a vocabulary of base64 tokens and ids; null for a null text."""
+    return docs.select("doc_id", "text").mapInArrow(_encoder(path), f"doc_id {dict(docs.dtypes)['doc_id']}, n_tokens long, token_ids array<int>")

@@ -1,6 +1,7 @@
 """Small cases worked out by hand, and properties."""
 
 import pytest
+import pyarrow as pa
 from pyspark.sql import Row
 from pyspark.sql import functions as F
 
@@ -171,3 +172,15 @@ def test_deduplicated(spark):
     assert sorted(r[0] for r in dedup.deduplicated(docs).select("doc_id").collect()) == [1, 2, 5, 6, 7]
     again = dedup.deduplicated(dedup.deduplicated(docs))
     assert again.count() == 5
+
+
+def test_tokenised_in_small_batches(spark, monkeypatch):
+    """Many texts of a batch leave in parts, with nulls and empty texts in their places; what a worker holds is bounded by SENT."""
+    texts = [None if i % 7 == 0 else "" if i % 7 == 1 else f"Le texte {i} " * (i % 40) for i in range(300)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    wanted = [(r["doc_id"], r["n_tokens"], r["token_ids"]) for r in packing.tokenised(docs).collect()]
+    assert [r[0] for r in wanted] == list(range(300)) and all((r[1] is None) == (t is None) for r, t in zip(wanted, texts))
+    monkeypatch.setattr(packing, "SENT", 50)
+    batch = pa.RecordBatch.from_pydict({"doc_id": list(range(300)), "text": texts})
+    parts = list(packing._encoder(packing.VOCABULARY)(iter([batch])))
+    assert len(parts) > 10 and pa.Table.from_batches(parts).to_pydict() == dict(zip(("doc_id", "n_tokens", "token_ids"), map(list, zip(*wanted))))
