@@ -184,3 +184,19 @@ def test_tokenised_in_small_batches(spark, monkeypatch):
     batch = pa.RecordBatch.from_pydict({"doc_id": list(range(300)), "text": texts})
     parts = list(packing._encoder(packing.VOCABULARY)(iter([batch])))
     assert len(parts) > 10 and pa.Table.from_batches(parts).to_pydict() == dict(zip(("doc_id", "n_tokens", "token_ids"), map(list, zip(*wanted))))
+
+
+def test_only_texts_that_share_a_band_are_written(spark, monkeypatch):
+    """And a batch's bands are the same in chunks of any size."""
+    some = [" ".join(f"w{i}x{k}" for k in range(5 + i)) for i in range(40)]
+    docs = spark.createDataFrame(list(enumerate([*some, some[7], some[9] + " more"])), "doc_id long, text string")
+    batch = pa.RecordBatch.from_pydict({"doc_id": [1, 2, 3], "shingles": [[5, -7], [9], list(range(300))]})
+    got = []
+    for chunk in (1, 4, 1 << 16):
+        monkeypatch.setattr(dedup, "CHUNK", chunk)
+        got.append([b.to_pydict() for b in dedup._bands(24, 4)(iter([batch]))])
+    assert got[0] == got[1] == got[2] and len(set(map(tuple, got[0][0]["bands"]))) == 3
+    written = []
+    monkeypatch.setattr(dedup, "checkpointed", lambda df: written.append(done := df.checkpoint()) or done)
+    assert {(r["a"], r["b"]) for r in dedup.duplicate_pairs(docs).collect()} >= {(7, 40)}
+    assert [df.count() for df in written if "shingles" in df.columns][0] < 10
